@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,11 @@ class Work:
         self.made.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def free(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames_or_names: str) -> None:
         """Delete the tables with these names, or all of them."""
         jvm = self.spark.sparkContext._jvm
