@@ -26,11 +26,16 @@ class _Powers:
         self.base, self.inverse = base, pow(base, -1, 2**64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _full(base: int, size: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            full = lambda b: np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64))
-            self.up, self.down = full(self.base), full(self.inverse)
+            self.up, self.down = self._full(self.base, size), self._full(self.inverse, size)
         return self.up[:n], self.down[:n]
 
 
