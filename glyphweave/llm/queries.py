@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphweave.llm import bpe, exact_dedup, packing, substring_dedup, token_counts
+from glyphweave.llm import bpe, exact_dedup, minhash_dedup, packing, substring_dedup, token_counts
 
 from glyphweave.workdir import Work
 
@@ -29,6 +29,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(spark, docs, index)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_dedup(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_minhash_dedup": minhash_dedup.ORACLE}
