@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphweave.llm import bpe, exact_dedup, minhash_dedup, packing, substring_dedup, token_counts
+from glyphweave.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, substring_dedup, token_counts
 
 from glyphweave.workdir import Work
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = substring_dedup.FingerprintIndex(spark, f"{Work(spark, 'prints').path}/index")
@@ -46,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_minhash_dedup": minhash_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_minhash_dedup": minhash_dedup.ORACLE}
