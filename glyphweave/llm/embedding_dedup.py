@@ -30,7 +30,7 @@ from glyphweave.operators.components import connected_components
 from glyphweave.workdir import Work
 
 #: Nearest pivots in a description, and how many two descriptions must share.
-NEAREST, SHARED = 8, 2
+NEAREST, SHARED = 12, 2
 #: Vectors in a block of a list.
 BLOCK = 1024
 #: Pivots at most; their sample is broadcast, so this bounds it.
