@@ -13,7 +13,9 @@ gives no rows. Of the input only the id and the text are read. No row is dropped
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,22 +41,70 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PLACED = PIECES + ", sequence_id bigint, offset bigint, done boolean"
 
 
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words whose normal form is their lower case, and their parts by the pattern above.
+_LATIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+
+
+def _splits_as_known(path: str) -> bool:
+    """Whether the file's normaliser and pre-tokeniser are those that ``_LATIN`` and ``_PARTS`` stand for."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before = (told.get("normalizer") or {}).get("normalizers", [])
+    first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return [x["type"] for x in before] == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _SPLIT} and all("<|" in x["content"] for x in told["added_tokens"])
+
+
 class _Words(dict):
     """Word without white space of ASCII -> its ids as bytes. White space always parts tokens, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.splits = _splits_as_known(path)
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def _learn_parts(self, need: set[str]) -> None:
+        """Parts never merge with each other, so many are encoded as one text and told apart by their number."""
+        new = need - self.parts.keys()
+        if len(self.parts) + len(new) > 2 * MEMORY:
+            self.parts.clear()
+            new = need
+        todo = list(new)
+        for at in range(0, len(todo), 4096):
+            some = todo[at : at + 4096]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            number, raw = np.array(found.word_ids), np.array(found.ids, "<u4").tobytes()
+            if not len(number) or number[-1] != len(some) - 1:
+                self.parts.update(zip(some, self._encode(some), strict=True))
+                continue
+            ends = (4 * np.searchsorted(number, np.arange(len(some) + 1))).tolist()
+            self.parts.update((x, raw[i:j]) for x, i, j in zip(some, ends, ends[1:], strict=False))
 
     def learn(self, need: set[bytes]) -> None:
         new = need - self.keys()
         if len(self) + len(new) > MEMORY:
             self.clear()
             new = need
-        words = list(new)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, "<u4").tobytes()
+        split: dict[bytes, list[str]] = {}
+        other: list[bytes] = []
+        for word in new:
+            text = word.decode()
+            if self.splits and _LATIN.fullmatch(text) and "<|" not in text:
+                split[word] = _PARTS.findall(text.lower())
+            else:
+                other.append(word)
+        self._learn_parts({x for xs in split.values() for x in xs})
+        get = self.parts.__getitem__
+        for word, parts in split.items():
+            self[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        self.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
 
 
 _WORDS: dict[str, _Words] = {}
