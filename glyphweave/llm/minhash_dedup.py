@@ -9,6 +9,10 @@ one component. Only buckets that still hold several components then compare memb
 So large groups of copies cost as many comparisons as they have members, and no link between different
 components of a bucket is left untested. Documents with equal sets are one node.
 
+Before texts are read again, a second packed signature bounds the difference of two sets from below: each
+shingle flips one of ``PARITY`` bits, so two sets differ in at least as many shingles as bits. The bound
+loses no link, and it spares near copies just under the threshold a comparison with each other.
+
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 6) ** 42 < 3e-6, and one that
 does is lost by its estimate with probability < 1e-6; links are confirmed on the full sets.
 
@@ -37,7 +41,9 @@ N_HASH = BANDS * ROWS
 SALT = 256
 _RNG = np.random.default_rng(0xB17)
 _A, _B = _RNG.integers(0, 2**31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 2**32, N_HASH, dtype=np.uint32)
-_SCAN = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, sketch array<bigint>"
+_SCAN = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
+#: Bits of the signature that bounds differences.
+PARITY = 1024
 
 
 def shingle_sets(batch: pa.RecordBatch, column: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +86,12 @@ def pack_low_bits(minima: np.ndarray) -> np.ndarray:
     return (low.reshape(len(minima), words_, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
 
 
+def parities(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sets, which of ``PARITY`` bits an odd number of its members falls on, 64 to a word."""
+    odd = (np.bincount(keys * PARITY + (values & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, PARITY), axis=1).view(np.uint64)
+
+
 def _scan(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):
@@ -92,11 +104,11 @@ def _scan(shingle: int):
             if len(some):
                 s1[some], s2[some] = np.add.reduceat(mix(values ^ np.uint64(0x1234567)), starts), np.add.reduceat(mix(values + np.uint64(0xABCDEF)), starts)
                 minima = signatures(values, starts)
-                bands, low = band_keys(minima), pack_low_bits(minima)
+                bands, low, odd = band_keys(minima), pack_low_bits(minima), parities(keys, values, m)[some]
             else:
-                bands, low = np.zeros((0, BANDS), np.uint64), np.zeros((0, 1), np.uint64)
+                bands, low, odd = (np.zeros((0, 1), np.uint64) for _ in range(3))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts > 0)]) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands), lists(low)], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands), lists(low), lists(odd)], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch", "parity"])
 
     return run
 
@@ -112,6 +124,13 @@ def alike(a: str, b: str, similarity: float) -> Column:
     return F.expr(f"{N_HASH} - ({apart})") >= least
 
 
+def may_link(percent: int) -> Column:
+    """What must hold of sizes and signatures of ``lead`` and ``doc_id`` if they are linked: similarity s means a difference of at most (1 - s) / (1 + s) of both sizes together."""
+    differ = " + ".join(f"bit_count(parity_lead[{i}] ^ parity_doc_id[{i}])" for i in range(PARITY // 64))
+    sized = f"100 * least(n_lead, n_doc_id) >= {percent} * greatest(n_lead, n_doc_id)"
+    return F.expr(sized) & F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n_lead + n_doc_id)") & alike("sketch_lead", "sketch_doc_id", percent / 100)
+
+
 def estimate(agreeing: float) -> float:
     """Similarity from the number of agreeing minima in the packed bits, corrected for chance collisions."""
     return (agreeing / N_HASH - 0.25) / 0.75
@@ -143,12 +162,13 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _confirmed(work: Work, batch: DataFrame, pairs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+def _confirmed(work: Work, batch: DataFrame, pairs: DataFrame, shingle: int, percent: int, name: str, how: str | None = None) -> DataFrame:
     """Those of the distinct ``pairs`` (lead, doc_id) whose full sets are near enough."""
     many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     salted = pairs.join(many, "lead").select("lead", "doc_id", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"))
     leaders = many.select("lead", F.col("lead").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = salted.unionByName(leaders).join(batch, "doc_id").select("lead", "doc_id", "text", "salt")
+    ids = work.write(salted.unionByName(leaders), f"{name}ids")
+    rows = (ids.hint(how) if how else ids).join(batch, "doc_id").select("lead", "doc_id", "text", "salt")
     dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("doc_id") != F.col("lead"))
     return work.write(dealt.select("lead", "doc_id", "text").mapInArrow(_verify(shingle, percent), "u bigint, v bigint"), name)
 
@@ -161,15 +181,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     batch, same = batch.where("doc_id is not null"), ["s1", "s2", "n_shingles"]
     classes = work.write(scan.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     nodes = work.write(scan.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"]), "nodes")
-    sketches = nodes.select("doc_id", "n_shingles", "sketch")
+    sketches = nodes.select("doc_id", "n_shingles", "sketch", "parity")
     members = nodes.select(F.explode("bands").alias("key"), "doc_id")
     leads = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = work.write(members.join(leads, "key"), "buckets")
     work.free()
     stars = buckets.where("doc_id <> lead").select("lead", "doc_id").distinct()
-    a, b = (sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("lead", "doc_id"))
-    sized = f"100 * least(n_lead, n_doc_id) >= {percent} * greatest(n_lead, n_doc_id)"
-    stars = stars.join(a, "lead").join(b, "doc_id").where(F.expr(sized) & alike("sketch_lead", "sketch_doc_id", percent / 100)).select("lead", "doc_id")
+    a, b = (sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"), F.col("parity").alias(f"parity_{k}")) for k in ("lead", "doc_id"))
+    stars = stars.join(a, "lead").join(b, "doc_id").where(may_link(percent)).select("lead", "doc_id")
     stars = work.write(stars, "stars")
     edges = _confirmed(work, batch, stars, shingle, percent, "edges")
     work.free()
@@ -177,9 +196,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     placed = buckets.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = work.write(placed.join(mixed, "key", "left_semi").join(sketches, "doc_id"), "mixed")
-    x = left.select("key", F.col("doc_id").alias("lead"), F.col("component").alias("c_lead"), F.col("n_shingles").alias("n_lead"), F.col("sketch").alias("sketch_lead"))
-    y = left.select("key", "doc_id", F.col("component").alias("c_doc_id"), F.col("n_shingles").alias("n_doc_id"), F.col("sketch").alias("sketch_doc_id"))
-    across = x.join(y, (x["key"] == y["key"]) & F.expr("lead < doc_id and c_lead <> c_doc_id") & F.expr(sized) & alike("sketch_lead", "sketch_doc_id", percent / 100))
+    x = left.select("key", F.col("doc_id").alias("lead"), F.col("component").alias("c_lead"), F.col("n_shingles").alias("n_lead"), F.col("sketch").alias("sketch_lead"), F.col("parity").alias("parity_lead"))
+    y = left.select("key", "doc_id", F.col("component").alias("c_doc_id"), F.col("n_shingles").alias("n_doc_id"), F.col("sketch").alias("sketch_doc_id"), F.col("parity").alias("parity_doc_id"))
+    across = x.join(y, (x["key"] == y["key"]) & F.expr("lead < doc_id and c_lead <> c_doc_id") & may_link(percent))
     across = work.write(across.select("lead", "doc_id").distinct().join(stars, ["lead", "doc_id"], "left_anti"), "across")
     if not across.isEmpty():
         edges = edges.unionByName(_confirmed(work, batch, across, shingle, percent, "more"))
