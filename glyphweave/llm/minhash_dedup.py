@@ -188,9 +188,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     work.free()
     stars = buckets.where("doc_id <> lead").select("lead", "doc_id").distinct()
     a, b = (sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"), F.col("parity").alias(f"parity_{k}")) for k in ("lead", "doc_id"))
-    stars = stars.join(a, "lead").join(b, "doc_id").where(may_link(percent)).select("lead", "doc_id")
+    stars = stars.join(a.hint("merge"), "lead").join(b.hint("merge"), "doc_id").where(may_link(percent)).select("lead", "doc_id")
     stars = work.write(stars, "stars")
-    edges = _confirmed(work, batch, stars, shingle, percent, "edges")
+    edges = _confirmed(work, batch, stars, shingle, percent, "edges", "merge")
     work.free()
     linked = connected_components(spark, edges, work)
     placed = buckets.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
