@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphweave.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, substring_dedup, token_counts
+from glyphweave.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, substring_dedup, token_counts, url_filter
 
 from glyphweave.workdir import Work
 
@@ -37,6 +37,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(spark, _table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
