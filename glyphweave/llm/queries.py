@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphweave.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, substring_dedup, token_counts, url_filter
+from glyphweave.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, substring_dedup, token_counts, url_filter
 
 from glyphweave.workdir import Work
 
@@ -41,6 +41,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(spark, _table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
