@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 from glyphweave.llm.text import slices
 from glyphweave.workdir import Work
 
-#: Words that a worker remembers at most.
-MEMORY = 300_000
+#: Words that a worker remembers at most, twice over: those in use and those before them.
+MEMORY = 400_000
 #: Pieces in a partition, about.
 PART = 20_000
 ROUNDS = 6
@@ -63,6 +63,8 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = _splits_as_known(path)
         self.parts: dict[str, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -72,11 +74,17 @@ class _Words(dict):
 
     def _learn_parts(self, need: set[str]) -> None:
         """Parts never merge with each other, so many are encoded as one text and told apart by their number."""
-        new = need - self.parts.keys()
-        if len(self.parts) + len(new) > 2 * MEMORY:
-            self.parts.clear()
+        new = {x for x in need if x not in self.parts}
+        if len(self.parts) + len(new) > MEMORY:
+            self.parts_before, self.parts = self.parts, {}
             new = need
-        todo = list(new)
+        todo = []
+        for part in new:
+            known = self.parts_before.get(part)
+            if known is None:
+                todo.append(part)
+            else:
+                self.parts[part] = known
         for at in range(0, len(todo), 4096):
             some = todo[at : at + 4096]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -88,13 +96,21 @@ class _Words(dict):
             self.parts.update((x, raw[i:j]) for x, i, j in zip(some, ends, ends[1:], strict=False))
 
     def learn(self, need: set[bytes]) -> None:
-        new = need - self.keys()
+        new = {x for x in need if x not in self}
         if len(self) + len(new) > MEMORY:
+            self.before = dict(self)
             self.clear()
             new = need
         split: dict[bytes, list[str]] = {}
         other: list[bytes] = []
         for word in new:
+            known = self.before.get(word)
+            if known is not None:
+                self[word] = known
+                continue
+            if self.splits and word.isalpha():
+                split[word] = [word.lower().decode()]
+                continue
             text = word.decode()
             if self.splits and _LATIN.fullmatch(text) and "<|" not in text:
                 split[word] = _PARTS.findall(text.lower())
