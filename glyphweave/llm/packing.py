@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphweave.llm.text import slices
+from glyphweave.llm.text import slices, utf8, words
 from glyphweave.workdir import Work
 
 #: Words that a worker remembers at most, twice over: those in use and those before them.
@@ -123,6 +123,24 @@ class _Words(dict):
         self.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
 
 
+    def texts(self, column: pa.Array, end: bytes) -> Iterator[bytes]:
+        """Ids of each text and ``end``, as bytes. Each different word of the texts is looked up once."""
+        body, offsets = utf8(column)
+        starts, ends, hashes, rows = words(body, offsets)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = body.tobytes()
+        distinct = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.learn(set(distinct))
+        found = [self[w] for w in distinct]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, n = np.cumsum(size) - size, size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(total[-1]) - np.repeat(total[:-1] - at[which], n)].tobytes()
+        limits = (4 * total[rows]).tolist()
+        for i, j in zip(limits, limits[1:], strict=False):
+            yield ids[i:j] + end
+
+
 _WORDS: dict[str, _Words] = {}
 
 
@@ -138,10 +156,7 @@ def tokenized(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", tex
         table, end = _WORDS[path], np.array([end_id], "<u4").tobytes()
         for batch in (x for b in batches for x in slices(b)):
             rows: list[list] = [[] for _ in names]
-            parts = [(text or "").encode().split() for text in batch.column(1).to_pylist()]
-            table.learn({w for ws in parts for w in ws})
-            for doc_id, part in zip(batch.column(0).to_pylist(), parts, strict=True):
-                ids = b"".join([*map(table.__getitem__, part), end])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), table.texts(batch.column(1), end), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     values = [doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)]
