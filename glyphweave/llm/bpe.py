@@ -189,7 +189,7 @@ class _Known(dict):
 
     def learn(self, need: set[str]) -> None:
         """Have all of ``need``; in order, each new piece goes on from the prefix it shares with the last."""
-        if len(self) + len(new := need - self.keys()) > MEMORY:
+        if len(self) + len(new := {x for x in need if x not in self}) > MEMORY:
             self.clear()
             new = need
         parts = {chunk: [x.encode() for x in self.pieces.findall(chunk)] for chunk in new}
