@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphweave.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, substring_dedup, token_counts, url_filter
+from glyphweave.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, substring_dedup, token_counts, url_filter
 
 from glyphweave.workdir import Work
 
@@ -53,8 +54,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(spark, docs, language_id.train(spark, docs))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over web pages, with the language their markup declares, their hosts and address suffixes."""
+    model = language_id.train(spark, _table(spark, sf_dir, "documents"))
+    host = url_filter.host_and_path(F.col("url"))[0]
+    pages = _table(spark, sf_dir, "pages").select("page_id", language_id.page_text(F.col("html")).alias("text"), language_id.page_language(F.col("html")).alias("declared"), host.alias("host"))
+    suffix = F.element_at(F.split("host", r"\."), -1)
+    return language_id.identify(spark, pages, model, "page_id", "text", "declared", "host", suffix)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"pages_language_id": pages_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
