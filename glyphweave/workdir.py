@@ -5,9 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Works made inside each open ``scratch`` block.
+_SCOPES: list[list[Work]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; on a local master a temporary one when unset."""
@@ -27,6 +32,8 @@ class Work:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: the plan behind it is cut and survives lost executors."""
@@ -49,3 +56,14 @@ class Work:
                 path = jvm.org.apache.hadoop.fs.Path(at)
                 path.getFileSystem(conf).delete(path, True)
                 self.made.remove(at)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables of operators called inside are deleted at the end; what is needed must be written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for work in _SCOPES.pop():
+            work.drop()
