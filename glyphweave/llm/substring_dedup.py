@@ -32,6 +32,7 @@ from glyphweave.workdir import Work
 
 WINDOW, SHINGLE = 20, 6
 _SCAN = "doc_id bigint, text_hash bigint, n_words bigint, kept_sha256 string, prints array<bigint>"
+_SAME = ["text_hash", "n_words", "kept_sha256"]
 _WINDOWS = "h1 bigint, h2 int, age tinyint, doc_id bigint, start int, length int"
 
 
@@ -127,27 +128,41 @@ def _candidates(window: int, shingle: int):
     return run
 
 
-def _cut(window: int, with_text: bool):
-    """From (doc_id, text, starts, lengths of runs of removed windows): what is left."""
+def _kept(text: str | None, starts: np.ndarray, lengths: np.ndarray, window: int) -> tuple[bytes, int, int]:
+    """What runs of removed windows leave of a text, its number of words and how many of them go."""
+    own = (text or "").encode().split()
+    change = np.zeros(len(own) + 1, np.int64)
+    np.add.at(change, np.minimum(starts, len(own)), 1)
+    np.add.at(change, np.minimum(starts + lengths + window - 1, len(own)), -1)
+    gone = np.cumsum(change)[:-1] > 0
+    return b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g]), len(own), int(gone.sum())
+
+
+def _cuts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[bytes, int, int]]:
+    named = lambda name: batch.column(batch.schema.get_field_index(name))
+    for text, starts, lengths in zip(named("text").to_pylist(), named("starts"), named("lengths"), strict=True):
+        yield _kept(text, starts.values.to_numpy(), lengths.values.to_numpy(), window)
+
+
+def _digests(window: int):
+    """From (doc_id, text, starts, lengths of runs of removed windows): counts and a digest of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):
-            rows: list[list] = [[], [], [], []]
-            for text, starts, lengths in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                own = (text or "").encode().split()
-                change = np.zeros(len(own) + 1, np.int64)
-                s = np.asarray(starts.values.to_numpy())
-                e = np.minimum(s + lengths.values.to_numpy() + window - 1, len(own))
-                np.add.at(change, np.minimum(s, len(own)), 1)
-                np.add.at(change, e, -1)
-                gone = np.cumsum(change)[:-1] > 0
-                kept = b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g])
-                rows[0].append(len(own))
-                rows[1].append(int(gone.sum()))
-                rows[2].append(hashlib.sha256(kept).hexdigest())
-                rows[3].append(kept.decode())
-            columns = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(rows[3], pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+            rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for kept, n, gone in _cuts(batch, window)]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _texts(window: int):
+    """From (row, text, starts, lengths): the row and what is left of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b)):
+            left = pa.array([kept.decode() for kept, _, _ in _cuts(batch, window)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), left], ["row", "left_text"])
 
     return run
 
@@ -196,21 +211,15 @@ class FingerprintIndex:
             path.getFileSystem(conf).delete(path, True)
 
 
-def substring_dedup(
-    spark: SparkSession, docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None,
-    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, with_text: bool = False,
-) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (null: as it was).
-
-    With an ``index`` and the ``history`` that it describes (same columns), windows that start in the
-    history are removed as well; the batch then becomes a new run.
-    """
-    work = Work(spark, "substring")
+def removals(
+    spark: SparkSession, docs: DataFrame, work: Work, index: FingerprintIndex | None = None, history: DataFrame | None = None,
+    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What goes: (scan of all rows, ids of later copies of whole texts, runs of removed windows of each other id)."""
     batch = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     scan = work.write(batch.mapInArrow(_scan(window, shingle), _SCAN), "scan")
-    same = ["text_hash", "n_words", "kept_sha256"]
-    firsts = scan.where(f"n_words >= {window}").groupBy(*same).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = work.write(scan.select("doc_id", *same).join(firsts, same).where("doc_id > first or doc_id is null").select("doc_id").distinct(), "copies")
+    firsts = scan.where(f"n_words >= {window}").groupBy(*_SAME).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = work.write(scan.select("doc_id", *_SAME).join(firsts, _SAME).where("doc_id > first").select("doc_id").distinct(), "copies")
     exploded = scan.select(F.explode("prints").alias("print"), "doc_id")
     old = index.prints() if index is not None else None
     counted = exploded.select("print") if old is None else exploded.select("print").unionByName(old.select("print"))
@@ -230,19 +239,45 @@ def substring_dedup(
     gone = later.unionByName(held.where("h1 is null").select("doc_id", "start", "length"))
     gone = work.write(gone.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")), "gone")
     work.free()
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    cut = batch.join(gone, "doc_id").select("doc_id", "text", "starts", "lengths").mapInArrow(_cut(window, with_text), schema)
+    return scan, copies, gone
+
+
+def substring_dedup(
+    spark: SparkSession, docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None,
+    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+) -> DataFrame:
+    """One row a document: doc_id, n_words, n_removed, kept_sha256.
+
+    With an ``index`` and the ``history`` that it describes (same columns), windows that start in the
+    history are removed as well; the batch then becomes a new run.
+    """
+    work = Work(spark, "substring")
+    scan, copies, gone = removals(spark, docs, work, index, history, id_col, text_col, window, shingle)
+    batch = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    cut = batch.join(gone, "doc_id").select("doc_id", "text", "starts", "lengths").mapInArrow(_digests(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     whole = scan.join(gone.select("doc_id"), "doc_id", "left_anti").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-    text = [F.when(F.col("copy"), F.lit("")).alias("kept_text")] * with_text
-    rest = whole.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(F.col("copy"), nothing).otherwise(F.col("kept_sha256")).alias("kept_sha256"), *text)
+    rest = whole.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(F.col("copy"), nothing).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
     out = work.write(cut.unionByName(rest), "result")
     if index is not None:
-        index.append(exploded.distinct())
+        index.append(scan.select(F.explode("prints").alias("print"), "doc_id").distinct())
     work.free()
     return out
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """All rows and columns of ``docs``; texts that lose words become their kept words joined by one space, others stay as they are."""
+    work = Work(spark, "substring")
+    _, copies, gone = removals(spark, docs, work, None, None, id_col, text_col, window, shingle)
+    columns, schema = docs.columns, docs.schema
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("bigint").alias("__id"), docs[text_col].alias("text"))
+    rows = rows.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").join(copies.select(F.col("doc_id").alias("__id"), F.lit(True).alias("copy")), "__id", "left")
+    same = rows.where("starts is null").select("row", F.when(F.col("copy"), F.lit("")).otherwise(F.col("text")).alias("left_text"))
+    cut = rows.where("starts is not null").select("row", "text", "starts", "lengths").mapInArrow(_texts(window), f"row {rows.schema['row'].dataType.simpleString()}, left_text string")
+    both = same.unionByName(cut)
+    return both.select(*[F.col("left_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in schema.names])
+
+
 ORACLE = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
