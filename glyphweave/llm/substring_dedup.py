@@ -117,6 +117,7 @@ def _candidates(window: int, shingle: int):
             begin = np.flatnonzero(fresh)
             end = np.append(begin[1:], len(later)) - 1
             spans = later[begin]
+            k = k[np.lexsort((start[k], ids[k]))]  # neighbours in a text stay neighbours: they compress
             none = lambda n, t: pa.nulls(n, t)
             columns = [
                 pa.concat_arrays([pa.array(h1[k].view(np.int64)), none(len(spans), pa.int64())]), pa.concat_arrays([pa.array(h2[k]), none(len(spans), pa.int32())]),
@@ -234,7 +235,8 @@ def removals(
     held = work.write(wanted.mapInArrow(_candidates(window, shingle), _WINDOWS), "windows")
     work.free()
     full = held.where("h1 is not null")
-    first = full.groupBy("h1", "h2").agg(F.min(F.struct("age", "doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = work.write(full.groupBy("h1", "h2").agg(F.min(F.struct("age", "doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    work.free()
     later = full.join(first, ["h1", "h2"]).where("age = 1 and (doc_id <> f.doc_id or start <> f.start or f.age = 0)").select("doc_id", "start", "length")
     gone = later.unionByName(held.where("h1 is null").select("doc_id", "start", "length"))
     gone = work.write(gone.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")), "gone")
