@@ -38,7 +38,7 @@ class Work:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: the plan behind it is cut and survives lost executors."""
         at = f"{self.path}/{len(self.made):03d}-{name}"
-        df.write.parquet(at)
+        df.write.option("compression", "zstd").parquet(at)
         self.made.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
