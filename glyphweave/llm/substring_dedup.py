@@ -4,8 +4,8 @@ A window is ``WINDOW`` consecutive words. Each window has a fingerprint: the lea
 ``SHINGLE`` words in it, so equal windows have equal fingerprints, and about one in eight runs of words is
 one. A batch's fingerprints are merge-joined with each other and with the sorted, immutable runs of the
 index. Only windows whose fingerprint occurs twice are hashed in full, by two independent hashes of 96 bits
-together, and the first of equal windows is found by aggregation; every other one removes its words. The
-batch's fingerprints become a new run; runs are merged when there are many.
+together, dealt by them and sorted; of equal windows the first one stays and every other one removes its
+words. The batch's fingerprints become a new run; runs are merged when there are many.
 
 Copies of a whole word sequence are told by a digest and take no part in the window stage: each of their
 windows starts in the first copy as well.
@@ -13,8 +13,9 @@ windows starts in the first copy as well.
 Defined results: null and empty texts have no words; texts of fewer words than a window lose nothing;
 repeated rows (same id, same text) get equal results; if one id has several texts, a place that is removed
 in one of them is removed in all; rows without an id come after all others; empty tables give empty results.
-Of the input only the id and the text are read. Windows of a passage in a large part of the documents are
-combined within each slice before they are shuffled, so no task gets a row for each document of a key.
+Of the input only the id and the text are read. Equal windows are reduced to the first one within each
+slice of ``SLICE`` bytes before they are shuffled, so a passage that stands in a large part of the documents
+sends one row a slice, not one a document; these rows are sorted on disk and read as a stream.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphweave.llm.text import mix, ragged, slices, utf8, windows, with_distinct, words
+from glyphweave.llm.text import CHUNK, mix, ragged, slices, utf8, windows, with_distinct, words
 from glyphweave.workdir import Work
 
 WINDOW, SHINGLE = 20, 6
+#: Ages of windows: of the history, of the batch, and removals that are certain.
+OLD, NEW, GONE = 0, 1, 2
+#: Bytes of text within which equal windows are reduced before they are shuffled.
+SLICE = 4 * CHUNK
 _SCAN = "doc_id bigint, text_hash bigint, n_words bigint, kept_sha256 string, prints array<bigint>"
 _SAME = ["text_hash", "n_words", "kept_sha256"]
 _WINDOWS = "h1 bigint, h2 int, age tinyint, doc_id bigint, start int, length int"
@@ -89,10 +94,10 @@ def _scan(window: int, shingle: int):
 
 
 def _candidates(window: int, shingle: int):
-    """From (age, doc_id, text, prints): the windows with one of these prints, and removals that show already."""
+    """From (age, doc_id, text, prints): the windows with one of these prints, and removals that show already (age ``GONE``, dealt by their document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b)):
+        for batch in (x for b in batches for x in slices(b, most=SLICE)):
             hashes, rows = words(*utf8(batch.column(2)))[2:]
             least, inside, _ = _window_prints(hashes, rows, window, shingle)
             row = np.repeat(np.arange(batch.num_rows), np.diff(rows))[: len(least)]
@@ -106,29 +111,51 @@ def _candidates(window: int, shingle: int):
             start = (at - rows[row[at]]).astype(np.int32)
             order = np.lexsort((start, ids, age, h2, h1))
             h1, h2, age, ids, start = h1[order], h2[order], age[order], ids[order], start[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = np.flatnonzero(~new & ((ids != ids[first]) | (start != start[first])) & (age == 1))
-            k = np.flatnonzero(new)
+            first, later = _split(h1, h2, age, ids, start)
             later = later[np.lexsort((start[later], ids[later]))]
             fresh = np.ones(len(later), bool)
             fresh[1:] = (ids[later][1:] != ids[later][:-1]) | (start[later][1:] > start[later][:-1] + 1)
             begin = np.flatnonzero(fresh)
-            end = np.append(begin[1:], len(later)) - 1
-            spans = later[begin]
-            k = k[np.lexsort((start[k], ids[k]))]  # neighbours in a text stay neighbours: they compress
-            none = lambda n, t: pa.nulls(n, t)
+            spans, ends = later[begin], later[np.append(begin[1:], len(later))[: len(begin)] - 1]
+            k = first[np.lexsort((start[first], ids[first]))]  # neighbours in a text stay neighbours: they compress
+            both = np.concatenate([k, spans])
+            dealt = np.concatenate([h1[k], mix(ids[spans].astype(np.uint64))]).view(np.int64)
             columns = [
-                pa.concat_arrays([pa.array(h1[k].view(np.int64)), none(len(spans), pa.int64())]), pa.concat_arrays([pa.array(h2[k]), none(len(spans), pa.int32())]),
-                pa.array(np.concatenate([age[k], age[spans]]), pa.int8()), pa.array(np.concatenate([ids[k], ids[spans]])), pa.array(np.concatenate([start[k], start[spans]])),
-                pa.array(np.concatenate([np.ones(len(k), np.int32), (start[later[end]] - start[spans] + 1).astype(np.int32)]) if len(later) else np.ones(len(k), np.int32)),
+                pa.array(dealt), pa.array(np.concatenate([h2[k], np.zeros(len(spans), np.int32)])), pa.array(np.concatenate([age[k], np.full(len(spans), GONE, age.dtype)]), pa.int8()),
+                pa.array(ids[both]), pa.array(start[both]), pa.array(np.concatenate([np.ones(len(k), np.int32), start[ends] - start[spans] + 1]).astype(np.int32)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "age", "doc_id", "start", "length"])
 
     return run
 
 
+def _split(h1: np.ndarray, h2: np.ndarray, age: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in order of hash, age, document and place: places of the first of equal ones, and of later ones of this batch at another place."""
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    at = np.flatnonzero(new)
+    first = at[np.cumsum(new) - 1]
+    moved = (ids != ids[first]) | (start != start[first]) | (age[first] == OLD)
+    return at, np.flatnonzero(~new & moved & (age == NEW))
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From windows in order of hash, age, document and place: removals. The first of a group is carried from batch to batch."""
+    held: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(i).to_numpy() for i in range(6)]
+        gone = np.flatnonzero(own[2] == GONE)
+        kept = np.flatnonzero(own[2] != GONE)
+        h1, h2, age, ids, start = (x[kept] if held is None else np.concatenate([h, x[kept]]) for h, x in zip(held or own, own[:5], strict=False))
+        first, later = _split(h1, h2, age, ids, start)
+        if len(first):
+            held = [x[first[-1] :][:1] for x in (h1, h2, age, ids, start)]
+        length = np.concatenate([np.ones(len(later), np.int32), own[5][gone]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[later], own[3][gone]])), pa.array(np.concatenate([start[later], own[4][gone]])), pa.array(length)], ["doc_id", "start", "length"])
+
+
 def _kept(text: str | None, starts: np.ndarray, lengths: np.ndarray, window: int) -> tuple[bytes, int, int]:
     """What runs of removed windows leave of a text, its number of words and how many of them go."""
     own = (text or "").encode().split()
@@ -227,19 +254,15 @@ def removals(
     shared = counted.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     found = work.write(exploded.where("doc_id is not null").join(shared, "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "found")
     work.free()
-    wanted = batch.join(found.join(copies, "doc_id", "left_anti"), "doc_id").select(F.lit(1).cast("tinyint").alias("age"), "doc_id", "text", "prints")
+    wanted = batch.join(found.join(copies, "doc_id", "left_anti"), "doc_id").select(F.lit(NEW).cast("tinyint").alias("age"), "doc_id", "text", "prints")
     if old is not None and history is not None:
         past = old.join(exploded.select("print").distinct(), "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
         before = history.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(past, "doc_id")
-        wanted = wanted.unionByName(before.select(F.lit(0).cast("tinyint").alias("age"), "doc_id", "text", "prints"))
-    held = work.write(wanted.mapInArrow(_candidates(window, shingle), _WINDOWS), "windows")
-    work.free()
-    full = held.where("h1 is not null")
-    first = work.write(full.groupBy("h1", "h2").agg(F.min(F.struct("age", "doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
-    work.free()
-    later = full.join(first, ["h1", "h2"]).where("age = 1 and (doc_id <> f.doc_id or start <> f.start or f.age = 0)").select("doc_id", "start", "length")
-    gone = later.unionByName(held.where("h1 is null").select("doc_id", "start", "length"))
-    gone = work.write(gone.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")), "gone")
+        wanted = wanted.unionByName(before.select(F.lit(OLD).cast("tinyint").alias("age"), "doc_id", "text", "prints"))
+    held = wanted.mapInArrow(_candidates(window, shingle), _WINDOWS).repartition("h1").sortWithinPartitions("h1", "h2", "age", "doc_id", "start")
+    later = held.mapInArrow(_later, "doc_id bigint, start int, length int")
+    gone = work.write(later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")), "gone")
+    work.drop("found")
     work.free()
     return scan, copies, gone
 
