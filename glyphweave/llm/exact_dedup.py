@@ -71,11 +71,8 @@ class DigestIndex:
             self.table().repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(spare)
         )
-        self.table().limit(0).write.mode("overwrite").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        (
-            kept.table().repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        )
+        kept.table().repartition(self.buckets, "digest").select("digest", "keep_id", "group_size", "batch").write.insertInto(self.name, overwrite=True)
+        self.spark.catalog.refreshTable(self.name)
         kept.drop()
 
     def drop(self) -> None:
