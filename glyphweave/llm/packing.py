@@ -101,28 +101,27 @@ class _Words(dict):
             self.before = dict(self)
             self.clear()
             new = need
+        if self.before:
+            known = [(x, self.before[x]) for x in new if x in self.before]
+            self.update(known)
+            new = new.difference(x for x, _ in known)
+        plain = [w for w in new if w.isalpha()] if self.splits else []
+        names = b"\n".join(plain).lower().decode().split("\n") if plain else []
+        rest = [w for w in new if not w.isalpha()] if self.splits else list(new)
         split: dict[bytes, list[str]] = {}
         other: list[bytes] = []
-        for word in new:
-            known = self.before.get(word)
-            if known is not None:
-                self[word] = known
-                continue
-            if self.splits and word.isalpha():
-                split[word] = [word.lower().decode()]
-                continue
-            text = word.decode()
+        for word, text in zip(rest, b"\n".join(rest).decode().split("\n") if rest else [], strict=True):
             if self.splits and _LATIN.fullmatch(text) and "<|" not in text:
                 split[word] = _PARTS.findall(text.lower())
             else:
                 other.append(word)
-        self._learn_parts({x for xs in split.values() for x in xs})
+        self._learn_parts(set(names).union(*split.values()))
         get = self.parts.__getitem__
+        self.update(zip(plain, map(get, names), strict=True))
         for word, parts in split.items():
             self[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
         self.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
 
-
     def texts(self, column: pa.Array, end: bytes) -> Iterator[bytes]:
         """Ids of each text and ``end``, as bytes. Each different word of the texts is looked up once."""
         body, offsets = utf8(column)
