@@ -1,6 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are reference vectors, drawn from a bounded sample. Every vector is described by its nearest pivots
+Pivots are reference vectors, drawn from a bounded sample and thinned: of vectors that are nearly linked
+one is taken, so a group of near copies has about one pivot, however large it and the table are, and its members
+do not choose among many alike. Every vector is described by its nearest pivots
 in order, and entered in the inverted list of each of them. Two vectors are candidates if their
 descriptions share enough pivots; candidates are verified by cosine in double precision. Lists are cut in
 blocks, and each pair of blocks of a list is one piece of work, so a list that holds a third of all rows
@@ -33,8 +35,10 @@ from glyphweave.workdir import Work
 NEAREST, SHARED = 12, 2
 #: Vectors in a block of a list.
 BLOCK = 1024
-#: Pivots at most; their sample is broadcast, so this bounds it.
-MOST_PIVOTS = 4096
+#: Pivots at most; they are broadcast, so this bounds them. So many times more rows are drawn before thinning.
+MOST_PIVOTS, DRAWN = 4096, 2
+#: Pairs of vectors that are compared one by one at a time; where more have the cosine, pivots are compared by matrix product.
+PAIRS = 1 << 14
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +93,16 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _sharing(a: np.ndarray, b: np.ndarray, pivot: int, shared: int) -> np.ndarray:
+    """For each two descriptions, whether they share enough pivots and none before ``pivot``."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    place = place.reshape(-1, a.shape[1])
+    has = np.zeros((len(place), len(names)), np.float32)
+    has[np.arange(len(place))[:, None], place] = 1
+    one, other, before = has[: len(a)], has[len(a) :], int(np.searchsorted(names, pivot))
+    return (one @ other.T >= shared) & (one[:, :before] @ other[:, :before].T == 0)
+
+
 def _links(cosine: float, shared: int, dim: int):
     """From the two blocks of each piece of work: (u, null, links of u) and the edges of a forest (u, v, 0)."""
 
@@ -106,17 +120,20 @@ def _links(cosine: float, shared: int, dim: int):
                 j = right[to : to + BLOCK]
                 if low == high and j[-1] <= i[0]:
                     continue
-                p, q = np.nonzero(x[i] @ x[j].T >= cosine - 1e-12)
+                near = x[i] @ x[j].T >= cosine - 1e-12
+                if np.count_nonzero(near) > PAIRS:
+                    near &= _sharing(marks[i], marks[j], pivot, shared)
+                p, q = np.nonzero(near)
                 p, q = i[p], j[q]
                 if low == high:
                     p, q = p[p < q], q[p < q]
-                exact = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                p, q = p[exact], q[exact]
-                common = (marks[p][:, :, None] == marks[q][:, None, :]).any(2)
-                first = np.where(common, marks[p], np.iinfo(np.int32).max).min(1)
-                keep = (common.sum(1) >= shared) & (first == pivot)
-                found_a.append(p[keep])
-                found_b.append(q[keep])
+                for start in range(0, len(p), PAIRS):
+                    a, b = p[start : start + PAIRS], q[start : start + PAIRS]
+                    common = (marks[a][:, :, None] == marks[b][:, None, :]).any(2)
+                    first = np.where(common, marks[a], np.iinfo(np.int32).max).min(1)
+                    keep = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (common.sum(1) >= shared) & (first == pivot)
+                    found_a.append(a[keep])
+                    found_b.append(b[keep])
         a, b = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (found_a, found_b))
         count = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
         some = np.flatnonzero(count)
@@ -129,11 +146,22 @@ def _links(cosine: float, shared: int, dim: int):
     return run
 
 
-def fit_pivots(vectors: DataFrame, n: int, dim: int, seed: int = 7) -> np.ndarray:
-    """So many vectors of the table, those whose hashed row comes first: a bounded sample, the same at every run."""
-    picked = vectors.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(n).toArrow()
+def _thin(x: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """The first vectors, ``most`` at most, that have a cosine below ``apart`` to all taken before."""
+    taken, n = np.empty((min(most, len(x)), x.shape[1])), 0
+    for one in x:
+        if n == len(taken):
+            break
+        if not n or (taken[:n] @ one).max() < apart:
+            taken[n], n = one, n + 1
+    return taken[:n]
+
+
+def fit_pivots(vectors: DataFrame, n: int, dim: int, seed: int = 7, apart: float = 0.8) -> np.ndarray:
+    """At most ``n`` vectors of the table, those whose hashed row comes first, without those near one before: a bounded sample, the same at every run."""
+    picked = vectors.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(DRAWN * n).toArrow()
     x, _ = _vectors(picked["vector"].combine_chunks(), dim)
-    return np.unique(x, axis=0)
+    return _thin(x, n, apart)
 
 
 def embedding_dedup(
@@ -149,7 +177,7 @@ def embedding_dedup(
     dim, n = usual[0]["dim"], table.count()
     rows = table.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("row"), "vector")
     wanted = pivots or max(16, min(MOST_PIVOTS, math.isqrt(n) * 2))
-    chosen = fit_pivots(rows, wanted, dim)
+    chosen = fit_pivots(rows, wanted, dim, apart=max(2 * cosine - 1, cosine / 2))
     if not len(chosen):
         return work.write(table.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), "result")
     described = work.write(rows.mapInArrow(_describe(chosen, nearest), "row bigint, pivots array<int>, unit array<double>"), "described")

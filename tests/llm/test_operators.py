@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -120,6 +121,22 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_noisy_group(spark):
+    """A third of 20,000 rows are near copies with a cosine of about 0.95, under as many pivots as a million rows have."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 64))
+    x[:6_667] = rng.normal(size=64) / 8 + 0.028 * x[:6_667]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    found = embedding_dedup.embedding_dedup(spark, df, pivots=2_000).toArrow().sort_by("vec_id")
+    y = x[:6_667].astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    links = (y @ y.T >= 0.9).sum(1) - 1
+    assert (found["n_links"].to_numpy()[:6_667] <= links).all() and found["n_links"].to_numpy()[6_667:].sum() == 0
+    assert found["n_links"].to_numpy().sum() >= 0.95 * links.sum()
+    assert np.mean(found["component_id"].to_numpy()[:6_667] == 0) >= 0.99
+
+
 def brute_removed(rows, window=20):
     """Kept words of each row; rows of one id share what is removed."""
     own = [(i, words(t)) for i, t in rows if i is not None]
