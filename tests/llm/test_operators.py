@@ -215,6 +215,38 @@ def test_url_rules_and_model(spark):
     assert url_filter.url_filter(spark, df.limit(0)).count() == 0
 
 
+def test_url_scores_are_of_exact_counts(spark):
+    """More different n-grams than any table of fixed size would hold apart."""
+    rng, letters = np.random.default_rng(3), np.array(list("abcdefghijklmnopqrstuvwxyz0123456789é"))
+    urls = [f"http://{('d.com/en', 'b.net/fr', 'c.org')[i % 3]}/" + "".join(rng.choice(letters, 40)) for i in range(6_000)] + [None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(5)
+    found = {r["page_id"]: r for r in url_filter.url_filter(spark, df).collect()}
+    fold = {r["page_id"]: r["h"] for r in df.selectExpr("page_id", "pmod(xxhash64(url), 5) h").collect()}
+    n, c, after = {}, {}, {}
+    grams = lambda url: [((b"\0" * 4 + url)[p + 4 - k : p + 4], url[p]) for p in range(len(url)) for k in range(5)]
+    for i, url in enumerate(urls):
+        if found[i]["rule"] and fold[i]:
+            for g in grams(url.encode()):
+                key = (found[i]["verdict"], g[0])
+                n[key, g[1]], c[key] = n.get((key, g[1]), 0) + 1, c.get(key, 0) + 1
+                after.setdefault(key, set()).add(g[1])
+    assert len(n) > 1 << 18
+
+    def score(url):
+        total, p = 0.0, {}
+        for context, byte in grams(url):
+            for side in ("allow", "block"):
+                seen, p[side] = c.get((side, context), 0), p[side] if context else 1 / 256
+                kinds = min(seen, 24)
+                p[side] = (n.get(((side, context), byte), 0) + kinds * p[side]) / (seen + kinds) if seen else p[side]
+            total += (np.log(p["allow"]) - np.log(p["block"])) * (len(context) == 4)
+        return total / max(len(url), 1)
+
+    assert len(found) == len(urls)
+    for i in [*range(60), *range(len(urls) - 63, len(urls))]:
+        assert found[i]["score"] == pytest.approx(score((urls[i] or "").encode()), abs=1e-9)
+
+
 def test_quality_is_learnt(spark):
     read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
     docs, labels = read("documents"), read("labels")
