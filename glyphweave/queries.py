@@ -395,19 +395,19 @@ _LEVELS = (
 )
 
 
-def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts of one brand with levels of agreement."""
+def levels(spark: SparkSession, sf_dir: str, as_sql: bool = False) -> DataFrame:
+    """Pairs of parts of one brand with levels of agreement; ``as_sql`` takes only the pairs of ``_LEVELS``, about one of twenty."""
     part = table(spark, sf_dir, "part")
     own = part.select("p_partkey", "p_size", "p_type", "p_name")
     x, y = (own.select(*[F.col(c).alias(f"{c}_{k}") for c in own.columns]) for k in (1, 2))
-    found = blocking.block_pairs(part, [["p_brand", F.col("p_partkey") % 20]], "p_partkey").join(x, F.col("x_id") == F.col("p_partkey_1")).join(y, F.col("y_id") == F.col("p_partkey_2"))
+    found = blocking.block_pairs(part, [["p_brand", F.col("p_partkey") % 20] if as_sql else ["p_brand"]], "p_partkey").join(x, F.col("x_id") == F.col("p_partkey_1")).join(y, F.col("y_id") == F.col("p_partkey_2"))
     return found.select(
         "x_id", "y_id", cmp.compare_levels(F.abs(F.col("p_size_1") - F.col("p_size_2")).cast("double"), [0.5, 5.5], decreasing=True).alias("size_level"), (F.col("p_type_1") == F.col("p_type_2")).cast("int").alias("type_level"),
         F.when(F.col("x_id") % 50 != 0, cmp.compare_levels(sm.levenshtein("p_name_1", "p_name_2"), [0.5, 4.5], decreasing=True)).alias("name_level"),
     )
 
 
-add("model_agreement_patterns", lambda s, d: model.agreement_patterns(levels(s, d), FIELDS), f"SELECT size_level, type_level, name_level, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL")
+add("model_agreement_patterns", lambda s, d: model.agreement_patterns(levels(s, d, as_sql=True), FIELDS), f"SELECT size_level, type_level, name_level, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL")
 
 
 def _em(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +419,7 @@ def _em(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("model_em_linkage", _em)
 FIT = model.LinkageModel({"size_level": [0.05, 0.15, 0.8], "type_level": [0.1, 0.9], "name_level": [0.1, 0.2, 0.7]}, {"size_level": [0.7, 0.25, 0.05], "type_level": [0.8, 0.2], "name_level": [0.9, 0.08, 0.02]}, 0.1)
 _BITS = " + ".join(f"coalesce(CASE {f} " + " ".join(f"WHEN {k} THEN log2({m} / {u})" for k, (m, u) in enumerate(zip(FIT.m[f], FIT.u[f], strict=True))) + " END, 0)" for f in FIELDS)
-add("model_match_weights", lambda s, d: model.match_weights(levels(s, d), FIT).select("x_id", "y_id", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability")), f"SELECT x_id, y_id, round(w, 6) AS weight, round(1 / (1 + 9 * pow(2, -w)), 6) AS probability FROM (SELECT x_id, y_id, {_BITS} AS w FROM ({_LEVELS}))")
+add("model_match_weights", lambda s, d: model.match_weights(levels(s, d, as_sql=True), FIT).select("x_id", "y_id", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability")), f"SELECT x_id, y_id, round(w, 6) AS weight, round(1 / (1 + 9 * pow(2, -w)), 6) AS probability FROM (SELECT x_id, y_id, {_BITS} AS w FROM ({_LEVELS}))")
 add("model_value_frequency", lambda s, d: model.value_frequency(table(s, d, "part").select("p_partkey", "p_name"), "p_name"), "SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_name) / count(*) OVER () AS frequency FROM part")
 add(
     "model_tf_adjust", lambda s, d: model.value_frequency(table(s, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", F.round(cmp.tf_adjust(F.lit(6.0), 0.001, "frequency"), 6).alias("value")),

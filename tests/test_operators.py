@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphweave import queries
 from glyphweave.operators import blocking, evaluate, model, review, search
 from glyphweave.plans.link import Compare, conjuncts, rlink
 
@@ -137,3 +138,20 @@ def test_decisions(spark, tmp_path):
     for bad in ("__import__('os')", "score.real > 1", "unknown > 1", "system(score)"):
         with pytest.raises((ValueError, SyntaxError)):
             review.rule_sql(bad, ["score"])
+
+
+def test_model_queries_take_all_pairs_of_a_brand(spark, tmp_path):
+    rng = random.Random(4)
+    parts = [(i, f"Brand#{i % 3}", rng.randrange(1, 12), rng.choice("abc"), rng.choice(["tin bolt", "tin bolts", "steel nut", "copper washer"])) for i in range(1, 61)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    wanted = sorted((x[0], y[0]) for x in parts for y in parts if x[0] < y[0] and x[1] == y[1])
+    for found in (queries.levels(spark, str(tmp_path)), queries.QUERIES["model_rlink_weights"](spark, str(tmp_path))):
+        assert sorted((r["x_id"], r["y_id"]) for r in found.collect()) == wanted
+    at = {p[0]: p for p in parts}
+    for r in queries.levels(spark, str(tmp_path)).collect():
+        x, y = at[r["x_id"]], at[r["y_id"]]
+        apart = abs(x[2] - y[2])
+        assert (r["size_level"], r["type_level"]) == (2 if apart == 0 else 1 if apart <= 5 else 0, int(x[3] == y[3]))
+        assert r["name_level"] == (None if x[0] % 50 == 0 else 2 if x[4] == y[4] else 1 if {x[4], y[4]} == {"tin bolt", "tin bolts"} else 0)
+    fit = {(r["field"], r["level"]): r for r in queries.QUERIES["model_em_linkage"](spark, str(tmp_path)).collect()}
+    assert len(fit) == 8 and all(abs(sum(r[k] for (f, _), r in fit.items() if f == name) - 1) < 1e-5 for name in queries.FIELDS for k in "mu")
