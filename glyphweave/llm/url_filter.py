@@ -99,15 +99,15 @@ def _odds(work: Work, grams: DataFrame, order: int) -> DataFrame:
     shorter = None
     for k, table in enumerate(reversed(tables)):
         context = Window.partitionBy(F.shiftright("gram", BITS))
-        table = table.withColumns({f"c{s}": F.sum(f"n{s}").over(context) for s in (0, 1)})
+        table = table.withColumns({f"{name}{s}": of.over(context) for s in (0, 1) for name, of in (("c", F.sum(f"n{s}")), ("kinds", F.count_if(F.col(f"n{s}") > 0)))})
         if k:
             low = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
             table = table.withColumn("low", low).join(shorter.select(F.col("gram").alias("low"), "p0", "p1"), "low")
         for s in (0, 1):
             before, n = F.col(f"p{s}") if k else F.lit(1 / 256), F.col(f"c{s}")
-            kinds = F.least(n, F.lit(24))  # stands for the number of different bytes behind a context
+            kinds = F.col(f"kinds{s}")
             smoothed = (F.col(f"n{s}") + kinds * before) / (n + kinds)
-            table = table.withColumn(f"p{s}", F.greatest(F.when(n > 0, smoothed).otherwise(before if k else F.lit(0.0)), F.lit(1e-12)))
+            table = table.withColumn(f"p{s}", F.when(n > 0, smoothed).otherwise(before if k else F.lit(1e-12)))
         shorter = work.write(table.select("gram", "p0", "p1"), "chances")
     return shorter.select("gram", (F.log("p0") - F.log("p1")).alias("odds"))
 

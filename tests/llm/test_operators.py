@@ -237,7 +237,7 @@ def test_url_scores_are_of_exact_counts(spark):
         for context, byte in grams(url):
             for side in ("allow", "block"):
                 seen, p[side] = c.get((side, context), 0), p[side] if context else 1 / 256
-                kinds = min(seen, 24)
+                kinds = len(after.get((side, context), ()))  # Witten-Bell
                 p[side] = (n.get(((side, context), byte), 0) + kinds * p[side]) / (seen + kinds) if seen else p[side]
             total += (np.log(p["allow"]) - np.log(p["block"])) * (len(context) == 4)
         return total / max(len(url), 1)
