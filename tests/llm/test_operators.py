@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from glyphweave.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, substring_dedup, token_counts, url_filter
+from glyphweave.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, queries, substring_dedup, token_counts, url_filter
 
 RNG = np.random.default_rng(5)
 VOCABULARY = [f"word{i}" for i in range(3000)]
@@ -318,3 +318,18 @@ def test_language(spark, docs):
     odd = language_id.identify(spark, docs, model).collect()
     assert len(odd) == len(ROWS) and not any(r["kept"] for r in odd if r["doc_id"] in (1, 2, 3))
     assert language_id.identify(spark, docs.limit(0), model).count() == 0
+
+
+def test_language_of_pages_by_address_suffix(spark, tmp_path):
+    """Pages without text at unknown hosts have the language of most pages under their suffix."""
+    read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    read.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {x: [r["text"] for r in read.where(f"lang = '{x}' and n_chars between 300 and 3000").orderBy("doc_id").limit(20).collect()] for x in ("de", "fr")}
+    assert min(map(len, texts.values())) >= 10
+    pages = [(f"http://h{k}.{x}/p", f"<html><body>{t}</body></html>") for x, own in texts.items() for k, t in enumerate(own)]
+    odd = [("http://new.de/", "<p>1</p>"), ("http://new.fr/", "<p>1</p>"), ("http://new.xyz/", "<p>1</p>")]
+    spark.createDataFrame([(i, *p) for i, p in enumerate(pages + odd)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r for r in queries.pages_language_id(spark, str(tmp_path)).collect()}
+    de, fr, none = (found[len(pages) + k] for k in range(3))
+    assert len(found) == len(pages) + 3 and (de["language"], fr["language"]) == ("de", "fr")
+    assert de["text_language"] is None and not de["kept"] and min(de["confidence"], fr["confidence"]) > none["confidence"]
