@@ -93,6 +93,11 @@ def words(body: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np
         first[1:] &= ~solid[:-1] | cut[1:n]
         last[:-1] &= ~solid[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, span_hashes(body, starts, ends, fold), np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of the bytes of each span; spans come in order and do not overlap."""
     hashes = np.empty(len(starts), np.uint64)
     table, at = _TABLES[fold], 0
     while at < len(starts):
@@ -105,7 +110,7 @@ def words(body: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np
         s, e = starts[at:to] - base, ends[at:to] - base
         hashes[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         at = to
-    return starts, ends, hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    return hashes
 
 
 def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -123,6 +128,12 @@ def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + count]``, one behind the other."""
+    ends = np.cumsum(counts)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)]
+
+
 def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows with so many items: each item's row, and its place in the row."""
     rows = np.repeat(np.arange(len(counts)), counts)
