@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences, certified by lower bounds.
 
-Documents are tokenised, documents over the capacity are cut into pieces of the full capacity, and pieces
+Documents are tokenised (Latin words by prefix dynamic programming over the tokenizer's merges, all different
+ones of a slice together; other words by the library), documents over the capacity are cut into pieces of the full capacity, and pieces
 are packed by best-fit decreasing in partitions of bounded size. Dual-feasible functions give each
 partition a lower bound of its number of bins. Where bins and bound agree the partition is done; else its
 full bins are done, and the documents in the others go to new partitions, shared with those of other
@@ -28,11 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphweave.llm.text import slices, utf8, words
+from glyphweave.llm.bpe import DIGIT, LATIN, ODD, SIGNS, kinds_of
+from glyphweave.llm.prefix import PrefixTable
+from glyphweave.llm.text import slices, span_hashes, spread, utf8, words
 from glyphweave.workdir import Work
 
-#: Words that a worker remembers at most, twice over: those in use and those before them.
-MEMORY = 400_000
+#: Words outside Latin letters, digits and marks that a worker remembers at most.
+MEMORY = 300_000
+#: Bytes of text whose different words are encoded together.
+SLICE = 1 << 23
 #: Pieces in a partition, about.
 PART = 20_000
 ROUNDS = 6
@@ -45,96 +50,131 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Words whose normal form is their lower case, and their parts by the pattern above.
 _LATIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+#: Of the symbols of a part, the last one is told from others by this.
+_END = 256
+_SUFFIX = "</w>"
 
 
-def _splits_as_known(path: str) -> bool:
-    """Whether the file's normaliser and pre-tokeniser are those that ``_LATIN`` and ``_PARTS`` stand for."""
+def _byte_names() -> dict[str, int]:
+    """The character that stands for each byte in vocabularies: itself if it can be seen, else the next free one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {chr(b): b for b in seen}
+    names.update((chr(256 + k), b) for k, b in enumerate(sorted(set(range(256)) - set(seen))))
+    return names
+
+
+def _prefix_table(path: str) -> PrefixTable | None:
+    """The file's merges, if it lower-cases, splits and merges as ``_Words`` does; else none."""
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
     before = (told.get("normalizer") or {}).get("normalizers", [])
     first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    return [x["type"] for x in before] == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _SPLIT} and all("<|" in x["content"] for x in told["added_tokens"])
-
-
-class _Words(dict):
-    """Word without white space of ASCII -> its ids as bytes. White space always parts tokens, so a text's ids are those of its words."""
+    model = told["model"]
+    known = [x["type"] for x in before] == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _SPLIT} and all("<|" in x["content"] for x in told["added_tokens"])
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if not known or model["type"] != "BPE" or model["end_of_word_suffix"] != _SUFFIX or any(model.get(x) for x in options):
+        return None
+    vocabulary, names = model["vocab"], _byte_names()
+    spelt: dict[str, tuple[int, ...]] = {}
+    for name, b in names.items():
+        spelt[name], spelt[name + _SUFFIX] = (b,), (b + _END,)
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    for a, b in pairs:
+        spelt[a + b] = spelt[a] + spelt[b]
+    merges = tuple(np.array([vocabulary[x] for x in xs], np.int64) for xs in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
+    in_order = len(merges[2]) and (np.diff(merges[2]) > 0).all() and merges[2][0] >= 2 * len(names)
+    return PrefixTable({x: vocabulary[name] for name, x in spelt.items()}, merges) if in_order else None
+
+
+class _Words:
+    """Ids of words without white space of ASCII. White space always parts tokens, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.splits = _splits_as_known(path)
-        self.parts: dict[str, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.parts_before: dict[str, bytes] = {}
+        self.table = _prefix_table(path)
+        self.odd: dict[bytes, list[int]] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
         for at in range(0, len(words), 4096):
-            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
         return out
 
-    def _learn_parts(self, need: set[str]) -> None:
-        """Parts never merge with each other, so many are encoded as one text and told apart by their number."""
-        new = {x for x in need if x not in self.parts}
-        if len(self.parts) + len(new) > MEMORY:
-            self.parts_before, self.parts = self.parts, {}
-            new = need
-        todo = []
-        for part in new:
-            known = self.parts_before.get(part)
-            if known is None:
-                todo.append(part)
-            else:
-                self.parts[part] = known
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            number, raw = np.array(found.word_ids), np.array(found.ids, "<u4").tobytes()
-            if not len(number) or number[-1] != len(some) - 1:
-                self.parts.update(zip(some, self._encode(some), strict=True))
-                continue
-            ends = (4 * np.searchsorted(number, np.arange(len(some) + 1))).tolist()
-            self.parts.update((x, raw[i:j]) for x, i, j in zip(some, ends, ends[1:], strict=False))
-
-    def learn(self, need: set[bytes]) -> None:
-        new = {x for x in need if x not in self}
-        if len(self) + len(new) > MEMORY:
-            self.before = dict(self)
-            self.clear()
-            new = need
-        if self.before:
-            known = [(x, self.before[x]) for x in new if x in self.before]
-            self.update(known)
-            new = new.difference(x for x, _ in known)
-        plain = [w for w in new if w.isalpha()] if self.splits else []
-        names = b"\n".join(plain).lower().decode().split("\n") if plain else []
-        rest = [w for w in new if not w.isalpha()] if self.splits else list(new)
-        split: dict[bytes, list[str]] = {}
-        other: list[bytes] = []
-        for word, text in zip(rest, b"\n".join(rest).decode().split("\n") if rest else [], strict=True):
-            if self.splits and _LATIN.fullmatch(text) and "<|" not in text:
-                split[word] = _PARTS.findall(text.lower())
+    def _learn(self, need: list[bytes]) -> list[list[int]]:
+        """Ids of words by the library."""
+        new = [x for x in dict.fromkeys(need) if x not in self.odd]
+        if len(self.odd) + len(new) > MEMORY:
+            self.odd.clear()
+            new = list(dict.fromkeys(need))
+        self.odd.update(zip(new, self._encode([x.decode() for x in new]), strict=True))
+        return [self.odd[x] for x in need]
+
+    def encode(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one behind the other, number of ids) of words that lie one behind the other."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        raw, kind = body.tobytes(), kinds_of(body)
+        odd = kind == ODD
+        odd[:-1] |= (body[:-1] == ord("<")) & (body[1:] == ord("|"))
+        odd = np.add.reduceat(odd, starts) > 0
+        if self.table is None:
+            odd[:] = True
+        some = np.flatnonzero(odd)
+        strange, split = [], []
+        for k, i, n in zip(some.tolist(), starts[some].tolist(), sizes[some].tolist(), strict=True):
+            word = raw[i : i + n]
+            text = word.decode()
+            if self.table is not None and _LATIN.fullmatch(text) and "<|" not in text:
+                split += [(k, x.encode()) for x in _PARTS.findall(text.lower())]
             else:
-                other.append(word)
-        self._learn_parts(set(names).union(*split.values()))
-        get = self.parts.__getitem__
-        self.update(zip(plain, map(get, names), strict=True))
-        for word, parts in split.items():
-            self[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
-        self.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
+                strange.append((k, word))
+        lower = body.copy()
+        lower[(body >= 65) & (body <= 90)] += 32
+        second = np.flatnonzero(body == LATIN) + 1
+        second = second[(body[second] < 0x9F) & (body[second] != SIGNS[0])]
+        lower[second] += 32
+        head = np.zeros(len(body), bool)
+        head[starts] = True
+        head[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        at = np.flatnonzero(head)
+        size, word = np.diff(np.append(at, len(body))), np.repeat(np.arange(len(starts)), np.add.reduceat(head, starts))
+        plain = ~odd[word]
+        more = np.fromiter((len(x) for _, x in split), np.int64, len(split))
+        at, size = np.concatenate([at[plain], len(body) + np.cumsum(more) - more]), np.concatenate([size[plain], more])
+        word = np.concatenate([word[plain], np.array([k for k, _ in split], np.int64)])
+        lower = np.concatenate([lower, np.frombuffer(b"".join(x for _, x in split), np.uint8)])
+        ids, counts = self._parts(lower, at, size)
+        if strange:
+            found = self._learn([x for _, x in strange])
+            own = np.fromiter(map(len, found), np.int64, len(found))
+            ids, counts = np.concatenate([ids, np.array([i for x in found for i in x], np.int64)]), np.concatenate([counts, own])
+            word = np.concatenate([word, np.array([k for k, _ in strange], np.int64)])
+        order = np.argsort(word, kind="stable")
+        flat = spread(ids, (np.cumsum(counts) - counts)[order], counts[order])
+        return flat, np.bincount(word, weights=counts, minlength=len(starts)).astype(np.int64)
+
+    def _parts(self, body: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, each different one encoded once."""
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, first, which = np.unique(span_hashes(body, at, at + size), return_index=True, return_inverse=True)
+        at, size = at[first], size[first]
+        symbols = spread(body, at, size).astype(np.int64)
+        ends = np.cumsum(size)
+        symbols[ends - 1] += _END
+        ids, counts = self.table.encode(symbols, ends - size, size)
+        return spread(ids, (np.cumsum(counts) - counts)[which], counts[which]), counts[which]
 
     def texts(self, column: pa.Array, end: bytes) -> Iterator[bytes]:
-        """Ids of each text and ``end``, as bytes. Each different word of the texts is looked up once."""
+        """Ids of each text and ``end``, as bytes. Each different word of the texts is encoded once."""
         body, offsets = utf8(column)
         starts, ends, hashes, rows = words(body, offsets)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = body.tobytes()
-        distinct = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        self.learn(set(distinct))
-        found = [self[w] for w in distinct]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at, n = np.cumsum(size) - size, size[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(total[-1]) - np.repeat(total[:-1] - at[which], n)].tobytes()
+        own = (ends - starts)[first]
+        flat, size = self.encode(spread(body, starts[first], own), np.cumsum(own) - own, own)
+        n = size[which]
+        total = np.append(0, np.cumsum(n))
+        ids = spread(flat.astype("<u4"), (np.cumsum(size) - size)[which], n).tobytes()
         limits = (4 * total[rows]).tolist()
         for i, j in zip(limits, limits[1:], strict=False):
             yield ids[i:j] + end
@@ -153,7 +193,7 @@ def tokenized(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", tex
         if path not in _WORDS:
             _WORDS[path] = _Words(path)
         table, end = _WORDS[path], np.array([end_id], "<u4").tobytes()
-        for batch in (x for b in batches for x in slices(b)):
+        for batch in (x for b in batches for x in slices(b, most=SLICE)):
             rows: list[list] = [[] for _ in names]
             for doc_id, ids in zip(batch.column(0).to_pylist(), table.texts(batch.column(1), end), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
