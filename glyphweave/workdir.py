@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether the shuffle files of a statement go when it ends, not when the driver's memory is next cleaned.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Statements that run inside leave no shuffle files behind, so disk holds what one statement shuffles."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Remove a folder, where it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Work:
     """Numbered Parquet tables in a fresh sub-folder of the shared folder."""
 
@@ -32,29 +52,24 @@ class Work:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        self.number = 0
         if _SCOPES:
             _SCOPES[-1].append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it again: the plan behind it is cut and survives lost executors."""
-        at = f"{self.path}/{len(self.made):03d}-{name}"
-        df.write.option("compression", "zstd").parquet(at)
+        """Write ``df`` and read it again: the plan behind it is cut, survives lost executors and leaves no shuffle files."""
+        at = f"{self.path}/{self.number:03d}-{name}"
+        self.number += 1
+        with tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(at)
         self.made.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def free(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *frames_or_names: str) -> None:
         """Delete the tables with these names, or all of them."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for at in list(self.made):
             if not frames_or_names or at.rsplit("-", 1)[-1] in frames_or_names:
-                path = jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(conf).delete(path, True)
+                delete(self.spark, at)
                 self.made.remove(at)
 
 
