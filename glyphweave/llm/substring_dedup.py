@@ -2,17 +2,22 @@
 
 A window is ``WINDOW`` consecutive words. Each window has a fingerprint: the least hash of the runs of
 ``SHINGLE`` words in it, so equal windows have equal fingerprints, and about one in eight runs of words is
-one. A batch's fingerprints are merge-joined with each other and with the sorted, immutable runs of the
-index. Only windows whose fingerprint occurs twice are hashed in full, by two independent hashes of 96 bits
-together, dealt by them and sorted; of equal windows the first one stays and every other one removes its
-words. The batch's fingerprints become a new run; runs are merged when there are many.
+one. A batch's fingerprints are dealt in ranges and sorted once: that is its run of the index, in which a fingerprint
+that occurs twice has its like beside it, so nothing is joined or counted within a batch; with the older
+runs it is merge-joined. Only windows whose fingerprint occurs twice are hashed in full, by two
+independent hashes of 96 bits together (a second hash verifies, not the words themselves), dealt by them
+and sorted; of equal windows the first one stays and every other one removes its words. The batch's run is
+named once its result stands; runs are merged when there are many.
+
+Every step is one written table whose shuffle files go with the statement, so disk holds one step's shuffle at a time.
 
 Copies of a whole word sequence are told by a digest and take no part in the window stage: each of their
 windows starts in the first copy as well.
 
 Defined results: null and empty texts have no words; texts of fewer words than a window lose nothing;
 repeated rows (same id, same text) get equal results; if one id has several texts, a place that is removed
-in one of them is removed in all; rows without an id come after all others; empty tables give empty results.
+in one of them is removed in all; rows without an id are neither earlier nor later than others: they lose
+nothing, and nothing is removed on their account; empty tables give empty results.
 Of the input only the id and the text are read. Equal windows are reduced to the first one within each
 slice of ``SLICE`` bytes before they are shuffled, so a passage that stands in a large part of the documents
 sends one row a slice, not one a document; these rows are sorted on disk and read as a stream.
@@ -21,6 +26,7 @@ sends one row a slice, not one a document; these rows are sorted on disk and rea
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphweave.llm.text import CHUNK, mix, ragged, slices, utf8, windows, with_distinct, words
-from glyphweave.workdir import Work
+from glyphweave.workdir import Work, delete, tidy
 
 WINDOW, SHINGLE = 20, 6
 #: Ages of windows: of the history, of the batch, and removals that are certain.
@@ -185,122 +191,176 @@ def _digests(window: int):
 
 
 def _texts(window: int):
-    """From (row, text, starts, lengths): the row and what is left of its text."""
+    """From (row, text, copy, starts, lengths): the row and what is left of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):
-            left = pa.array([kept.decode() for kept, _, _ in _cuts(batch, window)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), left], ["row", "left_text"])
+            left = batch.column(1).to_pylist()
+            for i in np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False)).tolist():
+                left[i] = ""
+            cut = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
+            for i, (kept, _, _) in zip(cut.tolist(), _cuts(batch.take(pa.array(cut)), window), strict=True):
+                left[i] = kept.decode()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], ["row", "left_text"])
 
     return run
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (print, doc_id) in order: each once, and whether the print may stand at another place.
+
+    A print goes on in the next partition only if it is the last one of its own, so ends of partitions are marked.
+    """
+    print_, ids, many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = not len(print_)
+        print_, ids = (np.concatenate([x, y.to_numpy()]) for x, y in ((print_, batch.column(0)), (ids, batch.column(1))))
+        many = np.concatenate([many, np.zeros(batch.num_rows, bool)])
+        same = print_[1:] == print_[:-1]
+        many[1:] |= same
+        many[:-1] |= same
+        many[0] |= first
+        keep = np.append(True, ~same | (ids[1:] != ids[:-1]))
+        print_, ids, many = print_[keep], ids[keep], many[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(print_[:-1]), pa.array(ids[:-1]), pa.array(many[:-1])], ["print", "doc_id", "many"])
+        print_, ids, many = print_[-1:], ids[-1:], many[-1:]
+    if len(print_):
+        yield pa.RecordBatch.from_arrays([pa.array(print_), pa.array(ids), pa.array([True])], ["print", "doc_id", "many"])
+
+
 class FingerprintIndex:
-    """Sorted, immutable runs of (fingerprint, doc_id) under ``path``, one for each batch, with the batch's ids.
+    """Sorted, immutable runs of (print, doc_id) under ``path``, one for each batch.
 
-    Each run is split by fingerprint and id, so a fingerprint of very many documents is in several files.
+    Runs are split by print and id, so a print of very many documents is in several files. A run is written under
+    a name that nobody reads and gets its own when the batch's result stands: after a failure the batch can be
+    run again. Batches have names; one that is there already (and not merged yet) is not compared with itself as history.
     The words of old documents are not kept here; they are read from the table that the caller keeps.
     """
 
     def __init__(self, spark: SparkSession, path: str, most_runs: int = 8):
         self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
 
-    def _runs(self) -> list[str]:
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [str(x.getPath()) for x in fs.listStatus(path) if x.getPath().getName().startswith("run-")]
-        return sorted(x for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS")))
-
-    def prints(self) -> DataFrame | None:
-        runs = self._runs()
-        return self.spark.read.schema("print bigint, doc_id bigint").parquet(*runs) if runs else None
+        return jvm.org.apache.hadoop.fs.Path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _write(self, prints: DataFrame, number: int) -> None:
-        prints.repartitionByRange("print", "doc_id").sortWithinPartitions("print", "doc_id").write.parquet(f"{self.path}/run-{number:08d}")
-
-    def append(self, prints: DataFrame) -> None:
-        runs = self._runs()
-        self._write(prints, 1 + max([0, *(int(x[-8:]) for x in runs)]))
-        if len(runs) + 1 > self.most_runs:
+    def runs(self, but: str | None = None) -> list[str]:
+        """Folders of the runs, oldest first; a merged run stands for those that its name counts."""
+        path, fs = self._files()
+        if not fs.exists(path(self.path)):
+            return []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(path(self.path)))
+        found = [x for x in names if x.startswith("run-") and (but is None or x.split("-", 2)[2] != but)]
+        merged = [x for x in names if x.startswith("merged-")][-1:]
+        last = int(merged[0][-8:]) if merged else 0
+        return [f"{self.path}/{x}" for x in merged + [x for x in found if int(x[4:12]) > last]]
+
+    def prints(self, but: str | None = None) -> DataFrame | None:
+        runs = self.runs(but)
+        return self.spark.read.schema("print bigint, doc_id bigint, many boolean").parquet(*runs).select("print", "doc_id") if runs else None
+
+    def stage(self, prints: DataFrame) -> str:
+        """Write the run of a batch, from one row a print and place; returns its folder, which ``commit`` takes."""
+        at = f"{self.path}/open-{uuid.uuid4().hex}"
+        dealt = prints.repartitionByRange("print", "doc_id").sortWithinPartitions("print", "doc_id")
+        with tidy(self.spark):
+            dealt.mapInArrow(_mark, "print bigint, doc_id bigint, many boolean").write.option("compression", "zstd").parquet(at)
+        return at
+
+    def commit(self, at: str, batch: str) -> None:
+        path, fs = self._files()
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
+        if any(x.startswith("run-") and x.split("-", 2)[2] == batch for x in names):
+            fs.delete(path(at), True)
+            return
+        number = 1 + max([0, *(int(x.split("-")[1]) for x in names if x.startswith(("run-", "merged-")))])
+        fs.rename(path(at), path(f"{self.path}/run-{number:08d}-{batch}"))
+        if len(self.runs()) > self.most_runs:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go once it stands."""
-        old = self._runs()
+        """Merge all runs into one; the old ones go once it stands under its name."""
+        old = self.runs()
         if len(old) < 2:
             return
-        self._write(self.spark.read.parquet(*old).distinct(), 1 + int(old[-1][-8:]))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path, fs = self._files()
+        at = self.stage(self.prints())
+        fs.rename(path(at), path(f"{self.path}/merged-{int(old[-1].rsplit('/', 1)[-1].split('-')[1]):08d}"))
         for x in old:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
-            path.getFileSystem(conf).delete(path, True)
+            fs.delete(path(x), True)
 
 
 def removals(
     spark: SparkSession, docs: DataFrame, work: Work, index: FingerprintIndex | None = None, history: DataFrame | None = None,
-    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What goes: (scan of all rows, ids of later copies of whole texts, runs of removed windows of each other id)."""
-    batch = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = work.write(batch.mapInArrow(_scan(window, shingle), _SCAN), "scan")
-    firsts = scan.where(f"n_words >= {window}").groupBy(*_SAME).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = work.write(scan.select("doc_id", *_SAME).join(firsts, _SAME).where("doc_id > first").select("doc_id").distinct(), "copies")
-    exploded = scan.select(F.explode("prints").alias("print"), "doc_id")
-    old = index.prints() if index is not None else None
-    counted = exploded.select("print") if old is None else exploded.select("print").unionByName(old.select("print"))
-    shared = counted.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    found = work.write(exploded.where("doc_id is not null").join(shared, "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "found")
-    work.free()
-    wanted = batch.join(found.join(copies, "doc_id", "left_anti"), "doc_id").select(F.lit(NEW).cast("tinyint").alias("age"), "doc_id", "text", "prints")
+    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, batch: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """What goes: (scan of all rows, ids of later copies of whole texts, runs of removed windows of each other id, the batch's run)."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    full = work.write(texts.mapInArrow(_scan(window, shingle), _SCAN), "prints")
+    scan = work.write(full.drop("prints"), "scan")
+    long = scan.where(f"n_words >= {window} and doc_id is not null")
+    firsts = long.groupBy(*_SAME).agg(F.min("doc_id").alias("doc_id"))
+    copies = work.write(long.select("doc_id").join(firsts, "doc_id", "left_anti").distinct(), "copies")
+    own = index or FingerprintIndex(spark, f"{work.path}/index")
+    exploded = full.where("doc_id is not null").select("doc_id", "prints").join(copies, "doc_id", "left_anti").select(F.explode("prints").alias("print"), "doc_id")
+    at = own.stage(exploded)
+    work.drop("prints")
+    run, old = spark.read.parquet(at), index.prints(batch) if index is not None else None
+    shared = run.where("many").select("print", "doc_id")
+    if old is not None:
+        shared = shared.unionByName(run.where("not many").select("print", "doc_id").join(old.select("print"), "print", "left_semi"))
+    found = work.write(shared.groupBy("doc_id").agg(F.collect_list("print").alias("prints")), "found")
+    if index is None:
+        delete(spark, at)
+    wanted = texts.join(found, "doc_id").select(F.lit(NEW).cast("tinyint").alias("age"), "doc_id", "text", "prints")
     if old is not None and history is not None:
-        past = old.join(exploded.select("print").distinct(), "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+        past = old.join(run.select("print").distinct(), "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
         before = history.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(past, "doc_id")
         wanted = wanted.unionByName(before.select(F.lit(OLD).cast("tinyint").alias("age"), "doc_id", "text", "prints"))
-    held = wanted.mapInArrow(_candidates(window, shingle), _WINDOWS).repartition("h1").sortWithinPartitions("h1", "h2", "age", "doc_id", "start")
-    later = held.mapInArrow(_later, "doc_id bigint, start int, length int")
-    gone = work.write(later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")), "gone")
+    places = work.write(wanted.mapInArrow(_candidates(window, shingle), _WINDOWS), "windows")
     work.drop("found")
-    work.free()
-    return scan, copies, gone
+    later = places.repartition("h1").sortWithinPartitions("h1", "h2", "age", "doc_id", "start").mapInArrow(_later, "doc_id bigint, start int, length int")
+    gone = work.write(later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")), "gone")
+    work.drop("windows")
+    return scan, copies, gone, at
 
 
 def substring_dedup(
     spark: SparkSession, docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None,
-    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, batch: str | None = None,
 ) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256.
 
     With an ``index`` and the ``history`` that it describes (same columns), windows that start in the
-    history are removed as well; the batch then becomes a new run.
+    history are removed as well; the batch then becomes a new run, named ``batch``. Run again under the
+    same name, a batch gives the same result and is not entered twice.
     """
-    work = Work(spark, "substring")
-    scan, copies, gone = removals(spark, docs, work, index, history, id_col, text_col, window, shingle)
-    batch = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = batch.join(gone, "doc_id").select("doc_id", "text", "starts", "lengths").mapInArrow(_digests(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    work, batch = Work(spark, "substring"), batch or uuid.uuid4().hex
+    scan, copies, gone, run = removals(spark, docs, work, index, history, id_col, text_col, window, shingle, batch)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    cut = texts.join(gone, "doc_id").select("doc_id", "text", "starts", "lengths").mapInArrow(_digests(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     whole = scan.join(gone.select("doc_id"), "doc_id", "left_anti").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     rest = whole.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(F.col("copy"), nothing).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
     out = work.write(cut.unionByName(rest), "result")
     if index is not None:
-        index.append(scan.select(F.explode("prints").alias("print"), "doc_id").distinct())
-    work.free()
+        index.commit(run, batch)
     return out
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """All rows and columns of ``docs``; texts that lose words become their kept words joined by one space, others stay as they are."""
     work = Work(spark, "substring")
-    _, copies, gone = removals(spark, docs, work, None, None, id_col, text_col, window, shingle)
-    columns, schema = docs.columns, docs.schema
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("bigint").alias("__id"), docs[text_col].alias("text"))
+    _, copies, gone, _ = removals(spark, docs, work, None, None, id_col, text_col, window, shingle)
+    schema = docs.schema
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("__id"))
     rows = rows.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").join(copies.select(F.col("doc_id").alias("__id"), F.lit(True).alias("copy")), "__id", "left")
-    same = rows.where("starts is null").select("row", F.when(F.col("copy"), F.lit("")).otherwise(F.col("text")).alias("left_text"))
-    cut = rows.where("starts is not null").select("row", "text", "starts", "lengths").mapInArrow(_texts(window), f"row {rows.schema['row'].dataType.simpleString()}, left_text string")
-    both = same.unionByName(cut)
-    return both.select(*[F.col("left_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in schema.names])
+    rows = rows.select("row", F.col("row").getField(text_col).alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "lengths")
+    both = rows.mapInArrow(_texts(window), f"row {rows.schema['row'].dataType.simpleString()}, left_text string")
+    return both.select(*[F.col("left_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in schema.names])
 
 
 ORACLE = r"""
