@@ -13,9 +13,11 @@ The number of pivots follows the number of vectors (its square root), so lists g
 as well. All rows are indexed; the recall against brute force is measured in the tests.
 
 Defined results: vectors that are null, empty, zero, of another length than most or that hold null or
-non-finite components are linked with nothing and name themselves; equal vectors are linked like others;
-repeated rows are one vector each; an empty table gives an empty result. Of the input only the id and the
-vector are read.
+non-finite components are linked with nothing and name themselves; equal vectors of different ids are linked
+like others; repeated rows (same id, equal vector) are one vector; if one id has several vectors, it is linked
+with what any of them is linked with, its links are counted for each of them, and links among them do not count;
+rows without an id are linked with nothing; an empty table gives an empty result. Of the input only the id
+and the vector are read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from glyphweave.workdir import Work
 
 #: Nearest pivots in a description, and how many two descriptions must share.
 NEAREST, SHARED = 12, 2
-#: Vectors in a block of a list.
-BLOCK = 1024
+#: Vectors in a block of a list, and how many of them are multiplied at a time.
+DEALT, BLOCK = 8192, 1024
 #: Pivots at most; they are broadcast, so this bounds them. So many times more rows are drawn before thinning.
 MOST_PIVOTS, DRAWN = 4096, 2
 #: Pairs of vectors that are compared one by one at a time; where more have the cosine, pivots are compared by matrix product.
@@ -71,8 +73,9 @@ def _describe(pivots: np.ndarray, nearest: int):
                 dots = x @ pivots.T
                 top = np.argpartition(-dots, own - 1, axis=1)[:, :own]
                 top = np.take_along_axis(top, np.argsort(-np.take_along_axis(dots, top, 1), axis=1, kind="stable"), 1)
+                kept = batch.take(pa.array(rows))
                 flat = lambda a, t: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel(), t))
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[rows]), flat(top.astype(np.int32), pa.int32()), flat(x, pa.float64())], ["row", "pivots", "unit"])
+                yield pa.RecordBatch.from_arrays([kept.column(0), flat(top.astype(np.int32), pa.int32()), kept.column(1)], ["row", "pivots", "vector"])
 
     return run
 
@@ -111,7 +114,7 @@ def _links(cosine: float, shared: int, dim: int):
         table = table.combine_chunks().sort_by("row")
         ids, block = table["row"].to_numpy(), table["block"].to_numpy()
         marks = table["pivots"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        x = table["unit"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
+        x = _vectors(table["vector"].combine_chunks(), dim)[0]
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         found_a, found_b = [], []
         for at in range(0, len(left), BLOCK):
@@ -120,7 +123,7 @@ def _links(cosine: float, shared: int, dim: int):
                 j = right[to : to + BLOCK]
                 if low == high and j[-1] <= i[0]:
                     continue
-                near = x[i] @ x[j].T >= cosine - 1e-12
+                near = (x[i] @ x[j].T >= cosine - 1e-12) & (ids[i][:, None] != ids[j])
                 if np.count_nonzero(near) > PAIRS:
                     near &= _sharing(marks[i], marks[j], pivot, shared)
                 p, q = np.nonzero(near)
@@ -170,22 +173,26 @@ def embedding_dedup(
 ) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     work = Work(spark, "pivots")
-    table = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "float" if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "double"
+    table = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     usual = table.where("size(vector) > 0").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not usual:
         return work.write(table.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), "result")
     dim, n = usual[0]["dim"], table.count()
     rows = table.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("row"), "vector")
+    twice = work.write(rows.groupBy("row").count().where("count > 1").select("row"), "twice")
+    if not twice.isEmpty():
+        rows = rows.join(twice, "row", "left_anti").unionByName(rows.join(twice, "row", "left_semi").distinct())
     wanted = pivots or max(16, min(MOST_PIVOTS, math.isqrt(n) * 2))
     chosen = fit_pivots(rows, wanted, dim, apart=max(2 * cosine - 1, cosine / 2))
     if not len(chosen):
         return work.write(table.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), "result")
-    described = work.write(rows.mapInArrow(_describe(chosen, nearest), "row bigint, pivots array<int>, unit array<double>"), "described")
-    lists = described.select(F.explode("pivots").alias("pivot"), "row", "pivots", "unit")
-    sizes = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    described = work.write(rows.mapInArrow(_describe(chosen, nearest), f"row bigint, pivots array<int>, vector array<{kind}>"), "described")
+    lists = described.select(F.explode("pivots").alias("pivot"), "row", "pivots", "vector")
+    sizes = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("blocks"))
     lists = lists.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))).alias("pair")
-    pieces = lists.select("pivot", "row", "pivots", "unit", "block", pair).select("pivot", "pair.low", "pair.high", "row", "pivots", "unit", "block")
+    pieces = lists.select("pivot", "row", "pivots", "vector", "block", pair).select("pivot", "pair.low", "pair.high", "row", "pivots", "vector", "block")
     linked = work.write(pieces.groupBy("pivot", "low", "high").applyInArrow(_links(cosine, min(shared, len(chosen)), dim), "u bigint, v bigint, links bigint"), "links")
     counts = linked.where("v is null").groupBy("u").agg(F.sum("links").alias("n_links"))
     parts = connected_components(spark, linked.where("v is not null").select("u", "v"), work)
