@@ -17,8 +17,9 @@ At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 6) **
 does is lost by its estimate with probability < 1e-6; links are confirmed on the full sets.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer
-words than a shingle is one shingle; repeated rows (same id, same text) get equal results; rows without an
-id are linked with nothing and name themselves; an empty table gives an empty result. Of the input only the
+words than a shingle is one shingle; repeated rows (same id, same text) get equal results; if one id has
+several texts, it is linked with what any of them is linked with, and its rows are in one component; rows without
+an id are linked with nothing and name themselves; an empty table gives an empty result. Of the input only the
 id and the text are read.
 """
 
@@ -37,8 +38,8 @@ from glyphweave.workdir import Work
 
 BANDS, ROWS, LOW_BITS = 42, 6, 2
 N_HASH = BANDS * ROWS
-#: Members that one task compares with a leader at a time.
-SALT = 256
+#: Members that one task compares with a leader at a time, and members of a bucket that it compares with all others.
+SALT, BLOCK = 256, 512
 _RNG = np.random.default_rng(0xB17)
 _A, _B = _RNG.integers(0, 2**31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 2**32, N_HASH, dtype=np.uint32)
 _SCAN = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
@@ -131,16 +132,17 @@ def may_link(percent: int) -> Column:
     return F.expr(sized) & F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n_lead + n_doc_id)") & alike("sketch_lead", "sketch_doc_id", percent / 100)
 
 
-def estimate(agreeing: float) -> float:
-    """Similarity from the number of agreeing minima in the packed bits, corrected for chance collisions."""
-    return (agreeing / N_HASH - 0.25) / 0.75
-
-
 def _verify(shingle: int, percent: int):
-    """From (lead, doc_id, text), each leader before its members: the pairs that are near enough."""
+    """From (lead, doc_id, text), each leader before its members: the pairs that are near enough. A leader may have several texts."""
+
+    def near(own: np.ndarray, base: np.ndarray) -> bool:
+        if not len(own) or not len(base):
+            return False
+        both = int((base[np.minimum(np.searchsorted(base, own), len(base) - 1)] == own).sum())
+        return 100 * both >= percent * (len(own) + len(base) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, base = None, np.zeros(0, np.uint64)
+        lead, bases = None, []
         for batch in (x for b in batches for x in slices(b)):
             keys, values = shingle_sets(batch, 2, shingle)
             at = np.searchsorted(keys, np.arange(batch.num_rows + 1))
@@ -148,14 +150,12 @@ def _verify(shingle: int, percent: int):
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 own = values[at[i] : at[i + 1]]
                 if a == b:
-                    lead, base = a, own
+                    if a != lead:
+                        lead, bases = a, []
+                    bases.append(own)
                     continue
                 assert a == lead, "a leader is missing"
-                if not len(own) or not len(base):
-                    continue
-                place = np.minimum(np.searchsorted(base, own), len(base) - 1)
-                both = int((base[place] == own).sum())
-                if 100 * both >= percent * (len(own) + len(base) - both):
+                if any(near(own, base) for base in bases):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
@@ -181,29 +181,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     batch, same = batch.where("doc_id is not null"), ["s1", "s2", "n_shingles"]
     classes = work.write(scan.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     nodes = work.write(scan.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"]), "nodes")
+    several = scan.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("doc_id")
+    joint = work.write(scan.join(several, "doc_id").join(classes, same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "joint")
     sketches = nodes.select("doc_id", "n_shingles", "sketch", "parity")
     members = nodes.select(F.explode("bands").alias("key"), "doc_id")
     leads = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = work.write(members.join(leads, "key"), "buckets")
-    work.free()
     stars = buckets.where("doc_id <> lead").select("lead", "doc_id").distinct()
     a, b = (sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"), F.col("parity").alias(f"parity_{k}")) for k in ("lead", "doc_id"))
     stars = stars.join(a.hint("merge"), "lead").join(b.hint("merge"), "doc_id").where(may_link(percent)).select("lead", "doc_id")
     stars = work.write(stars, "stars")
-    edges = _confirmed(work, batch, stars, shingle, percent, "edges", "merge")
-    work.free()
+    edges = _confirmed(work, batch, stars, shingle, percent, "edges", "merge").unionByName(joint)
     linked = connected_components(spark, edges, work)
     placed = buckets.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = work.write(placed.join(mixed, "key", "left_semi").join(sketches, "doc_id"), "mixed")
-    x = left.select("key", F.col("doc_id").alias("lead"), F.col("component").alias("c_lead"), F.col("n_shingles").alias("n_lead"), F.col("sketch").alias("sketch_lead"), F.col("parity").alias("parity_lead"))
-    y = left.select("key", "doc_id", F.col("component").alias("c_doc_id"), F.col("n_shingles").alias("n_doc_id"), F.col("sketch").alias("sketch_doc_id"), F.col("parity").alias("parity_doc_id"))
-    across = x.join(y, (x["key"] == y["key"]) & F.expr("lead < doc_id and c_lead <> c_doc_id") & may_link(percent))
+    blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    left = left.join(blocks, "key")
+    x = left.select("key", F.col("doc_id").alias("lead"), F.col("component").alias("c_lead"), F.col("n_shingles").alias("n_lead"), F.col("sketch").alias("sketch_lead"), F.col("parity").alias("parity_lead"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = left.select("key", "doc_id", F.col("component").alias("c_doc_id"), F.col("n_shingles").alias("n_doc_id"), F.col("sketch").alias("sketch_doc_id"), F.col("parity").alias("parity_doc_id"), F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
+    across = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & F.expr("lead < doc_id and c_lead <> c_doc_id") & may_link(percent))
     across = work.write(across.select("lead", "doc_id").distinct().join(stars, ["lead", "doc_id"], "left_anti"), "across")
     if not across.isEmpty():
         edges = edges.unionByName(_confirmed(work, batch, across, shingle, percent, "more"))
         linked = connected_components(spark, edges, work)
-    work.free()
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = scan.select("doc_id", *same).join(named, same, "left").select(
         "doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id")).alias("component_id")
