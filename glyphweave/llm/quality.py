@@ -11,8 +11,8 @@ and label are no inputs of a score.
 
 Defined results: null and empty texts are scored as texts of no words; without any label on one of both
 sides every score is the share of good labels (0.5 without labels); repeated rows get equal scores; labels
-that are null do not count, and of several labels of one document the best counts; an empty table gives an
-empty result. Of the tables only id, text and label are read.
+that are null do not count; of several labels of one document the best counts, and of several texts of one id the
+model learns from the first in order of bytes; an empty table gives an empty result. Of the tables only id, text and label are read.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     """Fit on labelled documents outside the held-out fold, at most ``sample`` of them."""
     told = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     told = told.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(told), "doc_id")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(told), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):

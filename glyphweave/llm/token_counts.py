@@ -10,7 +10,7 @@ blocks of lengths, so no task sees more than one block of lengths or the list of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -87,3 +87,20 @@ def token_counts(docs: DataFrame, text_col: str = "text", ranks: str | None = No
     work = Work(docs.sparkSession, "lengths")
     counted = token_lengths(docs, text_col, ranks, pattern).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     return length_histogram(work.write(counted, "counts"))
+
+
+def truncated_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """(context, total, n_cut): tokens that are left when each document is cut to a limit, and how many are cut. Limits need not be lengths that occur."""
+    over = F.col("n_tokens") > F.col("context")
+    told = histogram.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "context bigint")
+    each = histogram.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in sorted(set(limits))])).alias("context"))
+    sums = each.groupBy("context").agg(F.sum(F.least("n_tokens", "context") * F.col("n_docs")).alias("total"), F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("n_cut"))
+    return F.broadcast(told).join(sums, "context", "left").select("context", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+
+
+def quantiles(histogram: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(share, n_tokens): the least length that this share of all documents do not exceed; none where there is no document."""
+    told = histogram.sparkSession.createDataFrame([(float(x),) for x in sorted(set(shares))], "share double")
+    each = histogram.select("n_tokens", "docs_up_to", (F.col("docs_up_to") - F.col("n_docs") + F.col("docs_at_least")).alias("docs"), F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(shares))])).alias("share"))
+    found = each.where(F.col("docs_up_to") >= F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("docs")))).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return F.broadcast(told).join(found, "share", "left")
