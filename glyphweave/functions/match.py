@@ -7,7 +7,7 @@ replacement gives null. Case is folded for ASCII letters in literals and for all
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache, reduce
 
 import regex
@@ -248,15 +248,27 @@ def fextract_any(patterns: Sequence[str], x: ColumnLike, all: bool = False, igno
     return _literals("string", search.first_literal, patterns, x, ignore_case)
 
 
-def fagrepl(pattern: str | None, x: ColumnLike, max_distance: float = 0.1, ignore_case: bool = False) -> Column:
-    """Whether some part of the text is within so many edits of the literal; under 1 it is a share of its length."""
+def fagrepl(
+    pattern: str | None, x: ColumnLike, max_distance: float | Mapping[str, float] = 0.1, ignore_case: bool = False, fixed: bool = True, costs: Mapping[str, int] | None = None,
+) -> Column:
+    """Whether some part of the text is near enough to the literal or, with ``fixed`` off, to what the expression matches.
+
+    A number limits the cost of all edits; under 1 it is a share of the pattern's length times the dearest edit. A
+    mapping limits cost, insertions, deletions, substitutions and all edits; without a cost the
+    limit of all edits is a tenth of the length, and that of each kind is that of all. ``costs`` are 1 unless given.
+    """
     if pattern is None:
         return _null("boolean")
     if not pattern:
         raise ValueError("the pattern is empty")
-    return each("boolean", search.within_edits, pattern, search.edits_allowed(len(pattern), max_distance), ignore_case)(col(x))
+    plain = not isinstance(max_distance, Mapping) and all(v == 1 for v in (costs or {}).values())
+    if fixed and plain:
+        return each("boolean", search.within_edits, pattern, search.edits_allowed(len(pattern), max_distance), ignore_case)(col(x))
+    return each("boolean", search.within_limits, search.edit_limits(pattern, max_distance, costs or {}, fixed), ignore_case)(col(x))
 
 
-def fagrep(df: DataFrame, pattern: str | None, x: ColumnLike, max_distance: float = 0.1, ignore_case: bool = False) -> DataFrame:
+def fagrep(
+    df: DataFrame, pattern: str | None, x: ColumnLike, max_distance: float | Mapping[str, float] = 0.1, ignore_case: bool = False, fixed: bool = True, costs: Mapping[str, int] | None = None,
+) -> DataFrame:
     """Rows where ``fagrepl`` holds."""
-    return df.where(fagrepl(pattern, x, max_distance, ignore_case))
+    return df.where(fagrepl(pattern, x, max_distance, ignore_case, fixed, costs))

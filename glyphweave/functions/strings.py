@@ -149,11 +149,15 @@ def html_escape(x: ColumnLike, attribute: bool = False) -> Column:
     return y
 
 
-def token_counts(df: DataFrame, x: ColumnLike, id_col: str, ignore_case: bool = False, min_count: int = 1) -> DataFrame:
-    """Of every word: token, n, docs (rows that hold it), most frequent first. Words are counted in each row before they are shuffled."""
-    words = tokens(ascii_lower(col(x)) if ignore_case else x)
-    held = df.select(F.col(id_col).alias("id"), F.explode(words).alias("token")).groupBy("token", "id").agg(F.count(lit(1)).alias("n"))
-    out = held.groupBy("token").agg(F.sum("n").alias("n"), F.count(lit(1)).alias("docs"))
+def token_counts(df: DataFrame, x: ColumnLike, ignore_case: bool = False, min_count: int = 1) -> DataFrame:
+    """Of every word: token, n, docs (rows that hold it), most frequent first.
+
+    A row's words are sorted, so the first of equal ones is known where it stands, and one shuffle of partial sums by word is all.
+    """
+    words = F.sort_array(tokens(ascii_lower(col(x)) if ignore_case else x))
+    before = F.concat(F.array(lit(None).cast("string")), words)
+    held = df.select(F.inline(F.arrays_zip(words.alias("token"), before.alias("before")))).where("token is not null")
+    out = held.groupBy("token").agg(F.count(lit(1)).alias("n"), F.count(F.when(~F.col("token").eqNullSafe(F.col("before")), 1)).alias("docs"))
     return out.where(F.col("n") >= min_count).orderBy(F.desc("n"), "token")
 
 

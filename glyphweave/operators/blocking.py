@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import lit
 
 from glyphweave.functions.udf import ColumnLike, col
+from glyphweave.operators.components import connected_components
+from glyphweave.operators.prefix import with_running
 
 Key = ColumnLike | Sequence[ColumnLike]
 
@@ -36,40 +38,51 @@ def block_sizes(x: DataFrame, id_x: str, key_x: Key, y: DataFrame | None = None,
     return a.join(b, "key").withColumn("pairs", F.col("n_1") * F.col("n_2"))
 
 
-def _one_pass(x: DataFrame, id_x: str, kx: Key, y: DataFrame | None, id_y: str, ky: Key, most: float | None) -> DataFrame:
-    a = _keyed(x, id_x, kx, "x_id")
-    b = a.withColumnRenamed("x_id", "y_id") if y is None else _keyed(y, id_y, ky, "y_id")
-    if most is not None:
-        sizes = block_sizes(x, id_x, kx, y, id_y, ky).where(F.col("n_1") + F.col("n_2") <= most).select("key")
-        a = a.join(sizes, "key", "left_semi")
-    found = a.join(b, "key")
-    return (found.where("x_id < y_id") if y is None else found).select("x_id", "y_id")
+def _sided(df: DataFrame, id_col: str, keys: Sequence[Key], name: str, carry: Mapping[str, Column], most: Sequence[DataFrame] | None) -> DataFrame:
+    """Ids, all keys k1, k2, ... and carried values of one table; keys of too large blocks become null."""
+    out = df.select(F.col(id_col).alias(name), *[key_of(k).alias(f"__k{i}") for i, k in enumerate(keys, 1)], *[v.alias(n) for n, v in carry.items()])
+    for i, large in enumerate(most or [], 1):
+        marked = out.join(large.select(F.col("key").alias(f"__k{i}"), lit(True).alias("__large")), f"__k{i}", "left")
+        out = marked.withColumn(f"__k{i}", F.when(F.col("__large").isNull(), F.col(f"__k{i}"))).drop("__large").select(*out.columns)
+    return out
 
 
 def block_pairs(
     x: DataFrame, keys: Sequence[Key], id_x: str, y: DataFrame | None = None, keys_y: Sequence[Key] | None = None, id_y: str | None = None, max_block_size: float | None = None,
+    carry: Mapping[str, Column] | None = None, carry_y: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Pairs that agree on any of the keys, with the first pass that finds them; within one table x_id < y_id.
 
-    A null in any term of a key matches nothing. Blocks of more records (of both tables) than
+    Each pass is one equi-join that carries all keys, and leaves out pairs that agree on an earlier one; so pairs
+    are never shuffled to be united. ``carry`` and ``carry_y`` name values of both tables that go along. A null in any
+    term of a key matches nothing; ids are different. Blocks of more records (of both tables) than
     ``max_block_size`` are passed over: that is this parameter's purpose, and its default is no limit.
     """
-    other = keys if keys_y is None else keys_y
-    passes = [_one_pass(x, id_x, kx, y, id_y or id_x, ky, max_block_size).withColumn("pass", lit(i)) for i, (kx, ky) in enumerate(zip(keys, other, strict=True), 1)]
-    if len(passes) == 1:
-        return passes[0]
-    return reduce(DataFrame.unionByName, passes).groupBy("x_id", "y_id").agg(F.min("pass").alias("pass"))
-
-
-def ranked(values: DataFrame, name: str = "key", blocks: int = 64) -> DataFrame:
+    other, own_y, carry, carry_y = keys if keys_y is None else keys_y, id_y or id_x, carry or {}, carry_y or {}
+    large = None
+    if max_block_size is not None:
+        large = [block_sizes(x, id_x, kx, y, own_y, ky).where(F.col("n_1") + F.col("n_2") > max_block_size).select("key") for kx, ky in zip(keys, other, strict=True)]
+    a = _sided(x, id_x, keys, "x_id", carry, large)
+    b = _sided(x if y is None else y, own_y, other, "y_id", carry_y, large)
+    passes = []
+    for i in range(1, len(keys) + 1):
+        left = a.select("x_id", *carry, *[F.col(f"__k{j}").alias(f"__x{j}") for j in range(1, i + 1)]).where(f"__x{i} is not null")
+        right = b.select("y_id", *carry_y, *[F.col(f"__k{j}").alias(f"__y{j}") for j in range(1, i + 1)]).where(f"__y{i} is not null")
+        on = F.col(f"__x{i}") == F.col(f"__y{i}")
+        for j in range(1, i):
+            on &= ~F.coalesce(F.col(f"__x{j}") == F.col(f"__y{j}"), lit(False))
+        found = left.join(right, on & (F.col("x_id") < F.col("y_id")) if y is None else on)
+        passes.append(found.select("x_id", "y_id", lit(i).alias("pass"), *carry, *carry_y))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def ranked(values: DataFrame, name: str = "key") -> DataFrame:
     """(key, rank) of the different values of a table's column in their order.
 
     Values are counted in ranges first, so that no task orders all of them.
     """
-    from glyphweave.operators.prefix import with_running
-
     keys = values.select(F.col(name)).where(F.col(name).isNotNull()).distinct().withColumn("one", lit(1))
-    return with_running(keys, name, {"rank": "one"}, blocks=blocks).select(name, "rank")
+    return with_running(keys, name, {"rank": "one"}).select(name, "rank")
 
 
 def sorted_neighbourhood(x: DataFrame, keys: Sequence[Key], id_x: str, y: DataFrame | None = None, keys_y: Sequence[Key] | None = None, id_y: str | None = None, window: int = 3) -> DataFrame:
@@ -110,8 +123,6 @@ def largest_blocks(x: DataFrame, key: Key, id_x: str, y: DataFrame | None = None
 
 def cluster_pairs(pairs: DataFrame, i: str = "x_id", j: str = "y_id", records: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
     """(id, component, cluster) of every linked record and, with ``records``, of all: component is the smallest id, clusters count from 1 in its order."""
-    from glyphweave.operators.components import connected_components
-
     linked = connected_components(pairs.sparkSession, pairs.select(i, j)).select(F.col("node").alias("id"), "component")
     alone = None if records is None else records.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     if alone is not None:
@@ -125,8 +136,3 @@ def cluster_pairs(pairs: DataFrame, i: str = "x_id", j: str = "y_id", records: D
 def unmatched(records: DataFrame, id_col: str, pairs: DataFrame, side: str = "x_id") -> DataFrame:
     """Records of one side that no pair reaches."""
     return records.join(pairs.select(F.col(side).alias("__reached")).distinct(), F.col(id_col) == F.col("__reached"), "left_anti")
-
-
-def numbered(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
-    """Rows numbered in an order, for small tables: all rows come to one task."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

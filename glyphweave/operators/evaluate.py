@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import lit
 
 from glyphweave.operators.prefix import with_running
+from glyphweave.workdir import Work
 
 
 def _pairs(df: DataFrame, i: str, j: str, ordered: bool) -> DataFrame:
@@ -69,7 +70,7 @@ def threshold_sweep(
     """
     a, b = F.col(i), F.col(j)
     own = pairs.select((a if ordered else F.least(a, b)).alias("i"), (b if ordered else F.greatest(a, b)).alias("j"), (-F.col(score) if lower else F.col(score)).cast("double").alias("v"), (F.col(probability) if probability else lit(None)).cast("double").alias("p"))
-    own = own.where("v is not null").withColumn("o", F.xxhash64("i", "j"))
+    own = Work(pairs.sparkSession, "sweep").write(own.where("v is not null").withColumn("o", F.xxhash64("i", "j")), "pairs")
     ends = {e: _second(own, e) for e in ("i", "j")}
     marked = own.join(ends["i"], "i").join(ends["j"], "j")
     later = F.greatest("next_i", "next_j")  # of known ones

@@ -176,35 +176,32 @@ def rlink_weights(
     return out.drop(*names.values()), model
 
 
-def select_greedy(pairs: DataFrame, i: str, j: str, weight: str, order: str, n: int = 1, m: int = 1, name: str = "selected", max_rounds: int = 200) -> DataFrame:
+def select_greedy(pairs: DataFrame, i: str, j: str, weight: str, order: str, n: int = 1, m: int = 1, name: str = "selected") -> DataFrame:
     """``pairs`` with a flag: the highest weight first, a pair is kept while its left record has under n links and its right one under m.
 
     Equal weights go by ``order``, a column whose values differ. In each round the pairs that are among the
     first of both their records' open pairs, as far as these have room, are safe, as nothing before them can
-    fill it; then records without room close their pairs. Pairs without a record or weight get null.
+    fill it; then records without room close their pairs. The best open pair is always safe, so rounds come to an
+    end; a chain of falling weights takes as many as half its pairs. Pairs without a record or weight get null.
     """
     work = Work(pairs.sparkSession, "greedy")
     base = pairs.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(weight).alias("w"), F.col(order).alias("o")).where("i is not null and j is not null and w is not null")
     left = work.write(base.withColumn("ri", lit(n)).withColumn("rj", lit(m)), "open")
-    kept = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    safe_tables = []
+    while not left.isEmpty():
         best = left
         for end, most in (("i", n), ("j", m)):
             first = Window.partitionBy(end).orderBy(F.desc("w"), "o")
             best_of = left.select(end, "o", "w", F.row_number().over(first).alias("k")).where(F.col("k") <= most).select("o", F.col("k").alias(f"k{end}"))
             best = best.join(best_of, "o")
         safe = work.write(best.where("ki <= ri and kj <= rj").select("i", "j", "o"), "safe")
-        kept = safe.select("o") if kept is None else kept.unionByName(safe.select("o"))
+        safe_tables.append(work.made[-1])
         used_i, used_j = (safe.groupBy(e).agg(F.count(lit(1)).alias(f"u{e}")) for e in "ij")
         rest = left.join(safe.select("o"), "o", "left_anti").join(used_i, "i", "left").join(used_j, "j", "left")
         rest = rest.select("i", "j", "w", "o", (F.col("ri") - F.coalesce("ui", lit(0))).cast("int").alias("ri"), (F.col("rj") - F.coalesce("uj", lit(0))).cast("int").alias("rj"))
         left = work.write(rest.where("ri > 0 and rj > 0"), "open")
-    else:
-        raise RuntimeError("the assignment did not settle")
     good = F.col(i).isNotNull() & F.col(j).isNotNull() & F.col(weight).isNotNull()
-    if kept is None:
+    if not safe_tables:
         return pairs.withColumn(name, F.when(good, lit(False)))
-    marks = kept.select(F.col("o").alias("__o"), lit(True).alias("__kept"))
+    marks = pairs.sparkSession.read.schema(safe.schema).parquet(*safe_tables).select(F.col("o").alias("__o"), lit(True).alias("__kept"))
     return pairs.join(marks, F.col(order) == F.col("__o"), "left").withColumn(name, F.when(good, F.coalesce("__kept", lit(False)))).drop("__o", "__kept")

@@ -13,7 +13,7 @@ from pyspark.sql.functions import lit
 from glyphweave.functions import compare as c
 from glyphweave.functions import fuzz, phonetic
 from glyphweave.functions import similarity as s
-from glyphweave.functions.udf import ColumnLike, col
+from glyphweave.functions.udf import col
 from glyphweave.operators.blocking import Key, block_pairs, block_sizes, sorted_neighbourhood
 
 
@@ -111,11 +111,24 @@ def rlink(
 
     Scores stand under ``<column>_<comparator>``, 1 for a match unless their comparator is a plain distance. A
     filter is taken apart at its ands: each part runs as soon as its scores are there, and the scores that it does not
-    need come later, on fewer pairs. Values are cleaned once a record; carried columns are joined last.
+    need come later, on fewer pairs. Values are cleaned once a record and go through the blocking join, so pairs are scored
+    and filtered where they arise and only those that stay are shuffled; kept columns are joined to them last.
     ``pairs`` (x_id, y_id) replaces blocking. With ``max_pairs`` the expected number is counted first.
     """
     dedupe, other = data_2 is None, data_1 if data_2 is None else data_2
     own, their = id_1, id_2 or id_1
+
+    def values(side: int) -> dict[str, Column]:
+        """What is compared of one side, cleaned once a record."""
+        out = {}
+        for x in compare:
+            name = x.column if side == 1 else x.other or x.column
+            typed = isinstance(x.by, str) and COMPARATORS[x.by].typed
+            text = F.upper(F.col(name).cast("string"))
+            out[f"__{side}_{name}_{typed}"] = F.col(name) if typed else F.when(~text.isin(*na_strings), text) if na_strings else text
+        return out
+
+    carried = pairs is None and block_method == "exact"
     if pairs is None:
         k1 = [_key(data_1, k, na_strings, match_missing) for k in block_1]
         k2 = [_key(other, k, na_strings, match_missing) for k in (block_1 if block_2 is None else block_2)]
@@ -124,7 +137,7 @@ def rlink(
             if expected > max_pairs:
                 raise ValueError(f"{expected} pairs are expected, more than {max_pairs}")
         if block_method == "exact":
-            found = block_pairs(data_1, k1, own, data_2, k2, their, max_block_size)
+            found = block_pairs(data_1, k1, own, data_2, k2, their, max_block_size, values(1), values(2))
         else:
             found = sorted_neighbourhood(data_1, k1, own, data_2, k2, their, window)
     else:
@@ -134,18 +147,10 @@ def rlink(
         gone = gone.unionByName(gone.select(F.col("y_id").alias("x_id"), F.col("x_id").alias("y_id"))) if dedupe else gone
         found = found.join(gone.distinct(), ["x_id", "y_id"], "left_anti")
 
-    def values(df: DataFrame, id_col: str, side: int) -> DataFrame:
-        out = {}
-        for x in compare:
-            name = x.column if side == 1 else x.other or x.column
-            typed = isinstance(x.by, str) and COMPARATORS[x.by].typed
-            text = F.upper(F.col(name).cast("string"))
-            out[f"__{side}_{name}_{typed}"] = F.col(name) if typed else F.when(~text.isin(*na_strings), text) if na_strings else text
-        return df.select(F.col(id_col).alias("x_id" if side == 1 else "y_id"), *[v.alias(k) for k, v in out.items()])
-
     scored = found
-    if compare:
-        scored = scored.join(values(data_1, own, 1), "x_id").join(values(other, their, 2), "y_id")
+    if compare and not carried:
+        for side, df, id_col, end in ((1, data_1, own, "x_id"), (2, other, their, "y_id")):
+            scored = scored.join(df.select(F.col(id_col).alias(end), *[v.alias(k) for k, v in values(side).items()]), end)
     parts, waiting, done = conjuncts(filter) if filter else [], list(compare), {"pass", "x_id", "y_id"}
     needs = {p: {x.output for x in compare if re.search(rf"(?<!\w){re.escape(x.output)}(?!\w)", p)} for p in parts}
 
@@ -177,11 +182,3 @@ def rlink(
         bad = F.raise_error(lit("an id holds |"))
         out = out.withColumn("pair_id", F.when(F.contains(texts[0], lit("|")) | F.contains(texts[1], lit("|")), bad).otherwise(F.concat_ws("|", *texts)))
     return LinkResult(out, list(compare), dedupe, len(block_1) if pairs is None else 0)
-
-
-def stream_block(stream: DataFrame, keys: Sequence[ColumnLike], table: DataFrame, table_keys: Sequence[ColumnLike]) -> DataFrame:
-    """A stream of records joined with a table on agreeing keys; everything after works as on a table."""
-    on = lit(True)
-    for a, b in zip(keys, table_keys, strict=True):
-        on = on & (stream[a] == table[b] if isinstance(a, str) and isinstance(b, str) else a == b)
-    return stream.join(table, on)

@@ -21,6 +21,7 @@ from glyphweave.functions import similarity as sm
 from glyphweave.functions import strings as st
 from glyphweave.operators import blocking, evaluate, model, review, search
 from glyphweave.plans.link import Compare, rlink
+from glyphweave.sources.decisions import append_decisions
 from glyphweave.workdir import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,7 @@ PAIRS = "SELECT x.p_partkey AS x_id, y.p_partkey AS y_id, x.p_name AS a, y.p_nam
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    found = blocking.block_pairs(part, [["p_brand", "p_size"]], "p_partkey")
-    texts = part.select("p_partkey", "p_name")
-    return found.join(texts.select(F.col("p_partkey").alias("x_id"), F.col("p_name").alias("a")), "x_id").join(texts.select(F.col("p_partkey").alias("y_id"), F.col("p_name").alias("b")), "y_id")
+    return blocking.block_pairs(part, [["p_brand", "p_size"]], "p_partkey", carry={"a": F.col("p_name")}, carry_y={"b": F.col("p_name")})
 
 
 def pair(name: str, made: Callable[[], Column], sql: str | None = None, digits: int | None = 9, before: str = "", source: str = "p") -> None:
@@ -114,7 +113,7 @@ cells("text_url_encode", "part", "p_partkey", lambda: st.url_encode(F.concat(F.c
 cells("text_url_decode", "part", "p_partkey", lambda: st.url_decode(F.concat(F.lit("a%20b%2_"), F.replace("p_name", F.lit(" "), F.lit("%2F")))), "'a b%2_' || replace(p_name, ' ', '/')")
 cells("text_html_unescape", "part", "p_partkey", lambda: st.html_unescape(F.concat(F.lit("&lt;"), F.replace("p_name", F.lit(" "), F.lit("&amp;")), F.lit("&#62;"))), "'<' || replace(p_name, ' ', '&') || '>'")
 cells("text_html_escape", "pages", "page_id", lambda: st.html_escape("html", attribute=True), "replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), chr(13), '&#13;'), chr(10), '&#10;')")
-add("text_token_counts", lambda s, d: st.token_counts(table(s, d, "documents"), "text", "doc_id", min_count=2), f"WITH w AS (SELECT doc_id, unnest({words('text')}) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY token HAVING count(*) >= 2")
+add("text_token_counts", lambda s, d: st.token_counts(table(s, d, "documents"), "text", min_count=2), f"WITH w AS (SELECT doc_id, unnest({words('text')}) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY token HAVING count(*) >= 2")
 cells("text_token_sort", "documents", "doc_id", lambda: st.token_sort("text", unique=True), f"array_to_string(list_sort(list_distinct({words('text')})), ' ')")
 cells("text_token_initials", "documents", "doc_id", lambda: st.token_initials("text"), f"array_to_string(list_transform({words('text')}, lambda w: w[1]), '')")
 cells("text_freverse", "part", "p_partkey", lambda: st.freverse("p_name"), "reverse(p_name)")
@@ -127,11 +126,33 @@ _EAN = "lpad(CAST(o_orderkey * 7919 AS VARCHAR), 13, '4')"
 cells("text_valid_ean", "orders", "o_orderkey", lambda: st.valid_id(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 13, "4"), "ean"), f"(10 - list_sum(list_transform(range(2, 14), lambda i: CAST(reverse({_EAN})[i] AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 = CAST({_EAN}[13] AS INTEGER)")
 _TFN = "lpad(CAST(o_orderkey * 104729 AS VARCHAR), 9, '1')"
 cells("text_valid_tfn", "orders", "o_orderkey", lambda: st.valid_id(F.lpad((F.col("o_orderkey") * 104729).cast("string"), 9, "1"), "tfn"), "(" + " + ".join(f"CAST({_TFN}[{i}] AS INTEGER) * {w}" for i, w in enumerate((1, 4, 3, 7, 5, 8, 6, 9, 10), 1)) + f") % 11 = 0 AND length({_TFN}) = 9")
+
+
+def digits(text: str, weights: object) -> str:
+    """The weighted sum of a text's digits, as SQL."""
+    return "(" + " + ".join(f"CAST({text}[{i}] AS INTEGER) * {w}" for i, w in enumerate(weights, 1) if w) + ")"
+
+
+def padded(times: int, size: int, fill: str) -> str:
+    return f"lpad(CAST(o_orderkey * {times} AS VARCHAR), {size}, '{fill}')"
+
+
+def spelt(times: int, size: int, fill: str) -> Column:
+    return F.lpad((F.col("o_orderkey") * times).cast("string"), size, fill)
+
+
+cells("text_valid_abn", "orders", "o_orderkey", lambda: st.valid_id(spelt(7_368_787, 11, "5"), "abn"), f"({digits(padded(7_368_787, 11, '5'), (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19))} - 10) % 89 = 0")
+cells("text_valid_acn", "orders", "o_orderkey", lambda: st.valid_id(spelt(15_485, 9, "0"), "acn"), f"(10 - {digits(padded(15_485, 9, '0'), range(8, 0, -1))} % 10) % 10 = CAST({padded(15_485, 9, '0')}[9] AS INTEGER)")
+cells("text_valid_medicare", "orders", "o_orderkey", lambda: st.valid_id(spelt(611_953, 10, "2"), "medicare"), f"{padded(611_953, 10, '2')}[1] BETWEEN '2' AND '6' AND {digits(padded(611_953, 10, '2'), (1, 3, 7, 9, 1, 3, 7, 9))} % 10 = CAST({padded(611_953, 10, '2')}[9] AS INTEGER)")
+cells("text_valid_isbn", "orders", "o_orderkey", lambda: st.valid_id(spelt(179_426, 10, "0"), "isbn"), f"{digits(padded(179_426, 10, '0'), range(1, 10))} % 11 = CAST({padded(179_426, 10, '0')}[10] AS INTEGER)")
+_BBAN = padded(86_028_157, 18, "3")
+cells("text_valid_iban", "orders", "o_orderkey", lambda: st.valid_id(F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 97 + 2).cast("string"), 2, "0"), spelt(86_028_157, 18, "3")), "iban"), f"CAST({_BBAN} || '1314' || lpad(CAST(o_orderkey % 97 + 2 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1")
 cells("text_string_shape", "customer", "c_custkey", lambda: st.string_shape("c_name"), "regexp_replace(regexp_replace(regexp_replace(c_name, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g')")
 cells("text_fhash_sha256", "documents", "doc_id", lambda: st.fhash("text"), "sha256(text)")
 cells("text_fhash_md5", "documents", "doc_id", lambda: st.fhash("text", "md5"), "md5(text)")
 cells("text_fhash_sha1", "documents", "doc_id", lambda: st.fhash("text", "sha1"), "sha1(text)")
-cells("text_fhash_hmac", "part", "p_partkey", lambda: st.fhash("p_name", key="secret"))
+_INNER, _OUTER = (bytes(b ^ pad for b in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+cells("text_fhash_hmac", "part", "p_partkey", lambda: st.fhash("p_name", key="secret"), f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(p_name))))")
 cells("text_fhash_xxh64", "part", "p_partkey", lambda: st.fhash("p_name", "xxh64"))
 cells("text_fingerprint", "part", "p_partkey", lambda: st.fingerprint(F.concat("p_brand", F.lit("; "), "p_name")), "array_to_string(list_sort(list_distinct(string_split(lower(replace(p_brand, '#', '')) || ' ' || p_name, ' '))), ' ')")
 _NG = "lower(replace(p_brand, '#', '')) || replace(p_name, ' ', '')"
@@ -343,6 +364,24 @@ add("search_tfidf_top_n", lookup(search.tfidf_top_n, top_n=2), f"WITH p AS ({NAT
 add("search_tfidf_match", lookup(search.tfidf_match), f"WITH p AS ({NATIONS}), {TFIDF}, m AS (SELECT * FROM v {BEST.format('s', 1)}) SELECT n_nationkey AS query_id, y_id AS table_id, round(s, 9) AS score FROM nation LEFT JOIN m ON x_id = n_nationkey")
 add("search_fuzz_extract", lookup(search.fuzz_extract, scorer="ratio", limit=2), f"WITH RECURSIVE p AS ({NATIONS}){LCS} SELECT x_id AS query_id, y_id AS choice_id, b AS choice, round({RATIO}, 9) AS score, row_number() OVER (PARTITION BY x_id ORDER BY {RATIO} DESC, y_id) AS rank FROM v {BEST.format(RATIO, 2)}")
 add("search_fuzz_extract_one", lookup(search.fuzz_extract_one, scorer="ratio", score_cutoff=40), f"WITH RECURSIVE p AS ({NATIONS}){LCS}, m AS (SELECT * FROM v WHERE {RATIO} >= 40 {BEST.format(RATIO, 1)}) SELECT n_nationkey AS query_id, y_id AS choice_id, b AS choice, round({RATIO}, 9) AS score FROM nation LEFT JOIN m ON x_id = n_nationkey")
+PARTS = "SELECT x.p_partkey AS x_id, y.p_partkey AS y_id, x.p_name AS a, y.p_name AS b FROM part x, part y WHERE x.p_partkey % 100 = 0"
+
+
+def part_lookup(of: Callable[..., DataFrame], **options: object) -> Query:
+    """Names of parts whose key is divisible by 100, looked up among all part names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        part = table(spark, sf_dir, "part")
+        asked, held = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("x"), F.col("p_name").alias("a")), part.select(F.col("p_partkey").alias("y"), F.col("p_name").alias("b"))
+        return of(asked, held, "x", "a", "y", "b", **options).withColumn("score", F.round("score", 9)).drop("query_text", "table_text")
+
+    return run
+
+
+add("search_fuzzy_top_n_parts", part_lookup(search.fuzzy_top_n, method="levenshtein", top_n=5), f"WITH p AS ({PARTS}), {_SIMS} SELECT x_id AS query_id, y_id AS table_id, round(s, 9) AS score, row_number() OVER (PARTITION BY x_id ORDER BY s DESC, y_id) AS rank FROM v {BEST.format('s', 5)}")
+add("search_fuzzy_match_parts", part_lookup(search.fuzzy_match, method="levenshtein", min_score=0.6), f"WITH p AS ({PARTS}), {_SIMS}, best AS (SELECT * FROM v WHERE s >= 0.6 {BEST.format('s', 1)}) SELECT p_partkey AS query_id, y_id AS table_id, round(s, 9) AS score FROM part LEFT JOIN best ON x_id = p_partkey WHERE p_partkey % 100 = 0")
+add("search_tfidf_top_n_parts", part_lookup(search.tfidf_top_n, top_n=5), f"WITH p AS ({PARTS}), {TFIDF} SELECT x_id AS query_id, y_id AS table_id, round(s, 9) AS score, row_number() OVER (PARTITION BY x_id ORDER BY s DESC, y_id) AS rank FROM v {BEST.format('s', 5)}")
+add("search_fuzz_extract_parts", part_lookup(search.fuzz_extract, scorer="ratio", limit=5))
 add("search_minhash_pairs", lambda s, d: search.minhash_pairs(table(s, d, "supplier"), "s_suppkey", "s_name", threshold=0.9).withColumn("similarity", F.round("similarity", 9)))
 
 # --- blocking ------------------------------------------------------------------------------------------------
@@ -366,9 +405,7 @@ _LINKS = "SELECT x.s_suppkey AS x_id, y.s_suppkey AS y_id FROM supplier x JOIN s
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of one nation with like balances."""
     s = table(spark, sf_dir, "supplier")
-    found = blocking.block_pairs(s, ["s_nationkey"], "s_suppkey")
-    balance = s.select("s_suppkey", "s_acctbal")
-    found = found.join(balance.select(F.col("s_suppkey").alias("x_id"), F.col("s_acctbal").alias("a")), "x_id").join(balance.select(F.col("s_suppkey").alias("y_id"), F.col("s_acctbal").alias("b")), "y_id")
+    found = blocking.block_pairs(s, ["s_nationkey"], "s_suppkey", carry={"a": F.col("s_acctbal")}, carry_y={"b": F.col("s_acctbal")})
     return found.where(F.abs(F.col("a") - F.col("b")) < 1500).select("x_id", "y_id", F.round(1 - F.abs(F.col("a") - F.col("b")) / 1500, 2).alias("score"))
 
 
@@ -391,23 +428,22 @@ cells("compare_levels", "customer", "c_custkey", lambda: cmp.compare_levels("c_a
 FIELDS = ["size_level", "type_level", "name_level"]
 _LEVELS = (
     "SELECT x.p_partkey AS x_id, y.p_partkey AS y_id, CASE WHEN x.p_size = y.p_size THEN 2 WHEN abs(x.p_size - y.p_size) <= 5 THEN 1 ELSE 0 END AS size_level, CASE WHEN x.p_type = y.p_type THEN 1 ELSE 0 END AS type_level,"
-    " CASE WHEN x.p_partkey % 50 = 0 THEN NULL WHEN x.p_name = y.p_name THEN 2 WHEN levenshtein(x.p_name, y.p_name) <= 4 THEN 1 ELSE 0 END AS name_level FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey % 20 = y.p_partkey % 20 AND x.p_partkey < y.p_partkey"
+    " CASE WHEN x.p_partkey % 50 = 0 THEN NULL WHEN x.p_name = y.p_name THEN 2 WHEN levenshtein(x.p_name, y.p_name) <= 4 THEN 1 ELSE 0 END AS name_level FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey"
 )
 
 
-def levels(spark: SparkSession, sf_dir: str, as_sql: bool = False) -> DataFrame:
-    """Pairs of parts of one brand with levels of agreement; ``as_sql`` takes only the pairs of ``_LEVELS``, about one of twenty."""
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of parts of one brand with levels of agreement."""
     part = table(spark, sf_dir, "part")
-    own = part.select("p_partkey", "p_size", "p_type", "p_name")
-    x, y = (own.select(*[F.col(c).alias(f"{c}_{k}") for c in own.columns]) for k in (1, 2))
-    found = blocking.block_pairs(part, [["p_brand", F.col("p_partkey") % 20] if as_sql else ["p_brand"]], "p_partkey").join(x, F.col("x_id") == F.col("p_partkey_1")).join(y, F.col("y_id") == F.col("p_partkey_2"))
+    own = ("p_size", "p_type", "p_name")
+    found = blocking.block_pairs(part, ["p_brand"], "p_partkey", carry={f"{c}_1": F.col(c) for c in own}, carry_y={f"{c}_2": F.col(c) for c in own})
     return found.select(
         "x_id", "y_id", cmp.compare_levels(F.abs(F.col("p_size_1") - F.col("p_size_2")).cast("double"), [0.5, 5.5], decreasing=True).alias("size_level"), (F.col("p_type_1") == F.col("p_type_2")).cast("int").alias("type_level"),
         F.when(F.col("x_id") % 50 != 0, cmp.compare_levels(sm.levenshtein("p_name_1", "p_name_2"), [0.5, 4.5], decreasing=True)).alias("name_level"),
     )
 
 
-add("model_agreement_patterns", lambda s, d: model.agreement_patterns(levels(s, d, as_sql=True), FIELDS), f"SELECT size_level, type_level, name_level, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL")
+add("model_agreement_patterns", lambda s, d: model.agreement_patterns(levels(s, d), FIELDS), f"SELECT size_level, type_level, name_level, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL")
 
 
 def _em(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,14 +455,20 @@ def _em(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("model_em_linkage", _em)
 FIT = model.LinkageModel({"size_level": [0.05, 0.15, 0.8], "type_level": [0.1, 0.9], "name_level": [0.1, 0.2, 0.7]}, {"size_level": [0.7, 0.25, 0.05], "type_level": [0.8, 0.2], "name_level": [0.9, 0.08, 0.02]}, 0.1)
 _BITS = " + ".join(f"coalesce(CASE {f} " + " ".join(f"WHEN {k} THEN log2({m} / {u})" for k, (m, u) in enumerate(zip(FIT.m[f], FIT.u[f], strict=True))) + " END, 0)" for f in FIELDS)
-add("model_match_weights", lambda s, d: model.match_weights(levels(s, d, as_sql=True), FIT).select("x_id", "y_id", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability")), f"SELECT x_id, y_id, round(w, 6) AS weight, round(1 / (1 + 9 * pow(2, -w)), 6) AS probability FROM (SELECT x_id, y_id, {_BITS} AS w FROM ({_LEVELS}))")
+add("model_match_weights", lambda s, d: model.match_weights(levels(s, d), FIT).select("x_id", "y_id", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability")), f"SELECT x_id, y_id, round(w, 6) AS weight, round(1 / (1 + 9 * pow(2, -w)), 6) AS probability FROM (SELECT x_id, y_id, {_BITS} AS w FROM ({_LEVELS}))")
 add("model_value_frequency", lambda s, d: model.value_frequency(table(s, d, "part").select("p_partkey", "p_name"), "p_name"), "SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_name) / count(*) OVER () AS frequency FROM part")
 add(
     "model_tf_adjust", lambda s, d: model.value_frequency(table(s, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", F.round(cmp.tf_adjust(F.lit(6.0), 0.001, "frequency"), 6).alias("value")),
     "SELECT p_partkey, round(6 + log2(0.001 / (f * f)), 6) AS value FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_name) / count(*) OVER () AS f FROM part)",
 )
 add("model_rlink_weights", lambda s, d: model.rlink_weights(levels(s, d), FIELDS, max_iter=2000)[0].select("x_id", "y_id", F.round("weight", 4).alias("weight"), F.round("probability", 4).alias("probability")))
-add("model_select_greedy", lambda s, d: model.select_greedy(links(s, d).withColumn("o", F.col("x_id") * 1_000_000 + F.col("y_id")), "x_id", "y_id", "score", "o").drop("o"))
+_GREEDY = (
+    f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY score DESC, x_id * 1000000 + y_id) AS n FROM ({_SCORED})), g AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS used_x, CAST([] AS BIGINT[]) AS used_y, CAST([] AS BIGINT[]) AS kept UNION ALL"
+    " SELECT n, CASE WHEN free THEN list_append(used_x, x_id) ELSE used_x END, CASE WHEN free THEN list_append(used_y, y_id) ELSE used_y END, CASE WHEN free THEN list_append(kept, n) ELSE kept END FROM"
+    " (SELECT s.n, s.x_id, s.y_id, used_x, used_y, kept, NOT list_contains(used_x, s.x_id) AND NOT list_contains(used_y, s.y_id) AS free FROM g JOIN s ON s.n = g.n + 1)),"
+    " k AS (SELECT unnest(kept) AS n FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1)) SELECT x_id, y_id, score, s.n IN (SELECT n FROM k) AS selected FROM s"
+)
+add("model_select_greedy", lambda s, d: model.select_greedy(links(s, d).withColumn("o", F.col("x_id") * 1_000_000 + F.col("y_id")), "x_id", "y_id", "score", "o").drop("o"), _GREEDY)
 
 # --- evaluation and review -----------------------------------------------------------------------------------
 _TRUTH = f"SELECT x_id, y_id FROM ({_SCORED}) WHERE (x_id + y_id) % 3 <> 0"
@@ -485,6 +527,17 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("review_audit_sample", audit)
 
 
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log begun with one run and added to twice, the second time with events that it has: read again."""
+    path = f"{Work(spark, 'log').path}/log.json"
+    append_decisions(spark, path, LOG["runs"], LOG["thresholds"], LOG["decisions"][:2])
+    append_decisions(spark, path, LOG["runs"], decisions=LOG["decisions"])
+    return review.read_decisions(spark, path).events.select("event_id", "seq", "reviewer", "pair_id", "decision")
+
+
+add("review_append_decisions", written, "SELECT * FROM (VALUES ('d1', 1, 'ann', '1|1', 'include'), ('d2', 2, 'ann', '1|1', 'exclude'), ('d3', 3, 'bob', '2|2', 'include')) t(event_id, seq, reviewer, pair_id, decision)")
+
+
 # --- the whole linkage ---------------------------------------------------------------------------------------
 def link_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of parts that agree on brand and size, scored on name and price, the near ones with their names."""

@@ -146,6 +146,21 @@ def test_matching(values):
     assert match.java_pattern("a$") == r"(?sU)a\z"
 
 
+def test_edits_by_kind(values):
+    texts = ["1 lazy 2", "laxsy", "lay", "lasy", "none", None]
+    only = lambda kind: {"insertions": 0, "deletions": 0, "substitutions": 0, "all": 1} | {kind: 1}
+    assert values(lambda x: match.fagrepl("lasy", x, only("substitutions")), texts) == [True, False, False, True, False, None]
+    assert values(lambda x: match.fagrepl("lasy", x, only("insertions")), texts) == [False, True, False, True, False, None]
+    assert values(lambda x: match.fagrepl("lasy", x, only("deletions")), texts) == [False, False, True, True, False, None]
+    dear = {"substitutions": 3}
+    assert values(lambda x: match.fagrepl("lasy", x, 2, costs=dear), texts) == [True, True, True, True, False, None]
+    assert values(lambda x: match.fagrepl("lasy", x, 1, costs=dear), texts) == [False, True, True, True, False, None]
+    assert values(lambda x: match.fagrepl("l[ab]s+y", x, 0, fixed=False), ["lbssy", "lcsy", "LASY", None]) == [True, False, False, None]
+    assert values(lambda x: match.fagrepl("l[ab]s+y", x, 1, ignore_case=True, fixed=False), ["LCSY", "none"]) == [True, False]
+    with pytest.raises(ValueError):
+        match.fagrepl("a", "x", {"swaps": 1})
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_literal_sets(values, many):
     terms = ["foo", "bar", "foobar"] + [f"zz{i}" for i in range(100)] * many

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from glyphweave import queries
 from glyphweave.operators import blocking, evaluate, model, review, search
+from glyphweave.operators.components import connected_components
+from glyphweave.operators.prefix import with_running
 from glyphweave.plans.link import Compare, conjuncts, rlink
+from glyphweave.sources import append_decisions
+from glyphweave.streaming import stream_block, stream_pairs
 
 
 def pairs_of(df):
@@ -26,6 +30,76 @@ def test_block_pairs(spark):
     assert blocking.block_pairs(x.limit(0), ["k"], "id").count() == 0
 
 
+def test_passes_carry_values_and_find_each_pair_once(spark):
+    """Against all pairs, with nulls in keys, a hot key and a limit of block sizes."""
+    draw = random.Random(6)
+    rows = [(i, draw.choice([1, 1, 1, 2, 3, None]), draw.choice("abcdef"), draw.randrange(9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, k int, l string, m int")
+    for most in (None, 20):
+        sizes = [{v: sum(r[c] == v for r in rows) for v in {r[c] for r in rows}} for c in (1, 2, 3)]
+        usable = lambda c, v: v is not None and (most is None or sizes[c - 1][v] <= most)  # noqa: E731, B023
+        wanted = {}
+        for x in rows:
+            for y in rows:
+                first = [c for c in (1, 2, 3) if x[c] == y[c] and usable(c, x[c])]
+                if x[0] < y[0] and first:
+                    wanted[x[0], y[0]] = (first[0], x[3], y[2])
+        found = blocking.block_pairs(df, ["k", "l", "m"], "id", max_block_size=most, carry={"left": F.col("m")}, carry_y={"right": F.col("l")}).collect()
+        assert len(found) == len(wanted) and {(r["x_id"], r["y_id"]): (r["pass"], r["left"], r["right"]) for r in found} == wanted
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_over_ranges(spark, descending):
+    draw = random.Random(9)
+    rows = [(k, draw.randrange(100)) for k in draw.sample(range(10_000), 900)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    for in_range in (10, 10_000):
+        found = {r["k"]: r["total"] for r in with_running(df, "k", {"total": "v"}, descending, in_range).collect()}
+        total, wanted = 0, {}
+        for k, v in sorted(rows, reverse=descending):
+            total += v
+            wanted[k] = total
+        assert found == wanted
+    assert with_running(df.limit(0), "k", {"total": "v"}).count() == 0
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(500, 620)] + [(700, 700), (None, 3), (800, 801), (801, 800)]
+    found = {r["node"]: r["component"] for r in connected_components(spark, spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert found == {**{k: 0 for k in range(400)}, **{k: 500 for k in range(500, 621)}, 800: 800, 801: 800}
+
+
+def test_streams_are_blocked(spark, tmp_path):
+    rows = [[(1, "a", "2026-01-01 00:00:00"), (2, "b", "2026-01-01 00:01:00"), (3, None, "2026-01-01 00:01:00")], [(7, "a", "2026-01-01 00:02:00"), (8, "a", "2026-01-01 09:00:00"), (9, "b", "2026-01-01 00:01:30")]]
+    sides = []
+    for k, own in enumerate(rows):
+        spark.createDataFrame(own, "id int, key string, at string").select("id", "key", F.to_timestamp("at").alias("at")).write.parquet(f"{tmp_path}/{k}")
+        sides.append(spark.readStream.schema("id int, key string, at timestamp").parquet(f"{tmp_path}/{k}"))
+    table = spark.createDataFrame([("a", 10), ("c", 11)], "key string, n int")
+    jobs = {"paired": stream_pairs(sides[0], "key", "id", "at", sides[1], "key", "id", "at", "10 minutes"), "blocked": stream_block(sides[0], ["key"], table, ["key"]).select("id", "n")}
+    for name, df in jobs.items():
+        job = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/at-{name}").trigger(availableNow=True).start()
+        assert job.awaitTermination(120)
+    assert sorted((r["x_id"], r["y_id"]) for r in spark.table("paired").collect()) == [(1, 7), (2, 9)]
+    assert [tuple(r) for r in spark.table("blocked").collect()] == [(1, 10)]
+
+
+def test_log_is_written_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/log.json"
+    assert append_decisions(spark, path, runs=[{"run_id": "r", "reviewer": "a"}], decisions=[{"pair_id": "p", "reviewer": "a", "run_id": "r", "decision": "include"}]) == {"runs": 1, "thresholds": 0, "decisions": 1}
+    before = (tmp_path / "log.json").read_text()
+    more = [{"event_id": "e", "pair_id": "p", "reviewer": "b", "run_id": "r", "decision": "exclude", "comment": "ä"}]
+    assert append_decisions(spark, path, decisions=more)["decisions"] == 1 and append_decisions(spark, path, decisions=more)["decisions"] == 0
+    log = json.loads((tmp_path / "log.json").read_text())
+    assert [e["seq"] for e in log["decisions"]] == [0, 1] and log["decisions"][1]["comment"] == "ä" and log["created"] == json.loads(before)["created"]
+    assert json.loads((tmp_path / "log.json.bak").read_text())["decisions"] == log["decisions"]
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["log.json", "log.json.bak"]
+    held = review.read_decisions(spark, path)
+    assert [r["pair_id"] for r in held.disagreements.collect()] == ["p"]
+    with pytest.raises(ValueError):
+        append_decisions(spark, path, decisions=[{"pair_id": "p", "decision": "maybe"}])
+
+
 def test_sorted_neighbourhood(spark):
     numbers = spark.createDataFrame(list(enumerate([0, 1, 5, 6, 30], 1)), "id int, k int")
     assert [p[:2] for p in pairs_of(blocking.sorted_neighbourhood(numbers, ["k"], "id", window=3))] == [(1, 2), (2, 3), (3, 4), (4, 5)]
