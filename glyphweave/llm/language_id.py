@@ -8,8 +8,9 @@ come from grouped aggregation over all documents, and a document's own vote is t
 
 Trigram models are fitted on at most ``SAMPLE`` declared documents of each language, those whose hashed
 ids come first. Trigrams are hashed to ``SLOTS`` places, so models have a fixed size. A document is rejected
-if its text has no letters, if its letters fit even the best language worse than ``MARGIN`` (and
-``SPREAD`` for short texts) below the worst of the sample, or if no language has a posterior of ``LEAST``.
+if its text has no letters, if its letters fit even the best language worse than ``MARGIN`` (and ``SPREAD`` for
+short texts) below what all but a share of ``TAIL`` of the whole table reach, or if no language has a posterior of
+``LEAST``. That bound comes from all documents of the table whose declared language is not at odds with their text.
 
 Defined results: null and empty texts, and texts without letters, have no language of the text, get a
 prediction from the other evidence and are rejected; null or unknown declarations, suffixes and hosts say
@@ -33,7 +34,9 @@ LANGUAGES = ("de", "en", "es", "fr")
 SLOTS, SAMPLE = 1 << 16, 2000
 #: Neighbouring trigrams overlap, so each counts as this share of an independent observation.
 SHARE = 0.2
-MARGIN, LEAST = 0.7, 0.5
+MARGIN, LEAST, TAIL = 1.3, 0.5, 0.005
+#: Trigrams of a text that counts for that bound.
+ENOUGH = 100
 #: Short texts may fit worse, by this over the square root of their trigrams.
 SPREAD = 8.0
 #: Weight of the wider group when the shares of a narrower one are smoothed, in documents.
@@ -97,10 +100,10 @@ def _evidence(model):
 
 
 class LanguageModel:
-    """Log-probabilities of trigram slots for each language, and how badly a text of a language may fit."""
+    """Log-probabilities of trigram slots for each language."""
 
-    def __init__(self, languages: tuple[str, ...], logs: np.ndarray, worst: float):
-        self.languages, self.logs, self.worst = languages, logs, worst
+    def __init__(self, languages: tuple[str, ...], logs: np.ndarray):
+        self.languages, self.logs = languages, logs
 
 
 def train(spark: SparkSession, docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
@@ -118,9 +121,7 @@ def train(spark: SparkSession, docs: DataFrame, languages: tuple[str, ...] = LAN
     counts = np.zeros((len(languages), SLOTS))
     counts[told["side"].to_numpy(), told["slot"].to_numpy()] = told["n"].to_numpy()
     logs = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * SLOTS))
-    model = spark.sparkContext.broadcast(logs)
-    fit = texts.select("text").mapInArrow(_evidence(model), "letters bigint, n bigint, means array<double>").where("n >= 100").agg(F.min(F.array_max("means")).alias("worst")).first()
-    return LanguageModel(languages, logs, fit["worst"] if fit["worst"] is not None else -np.inf)
+    return LanguageModel(languages, logs)
 
 
 def identify(
@@ -138,7 +139,10 @@ def identify(
     seen = work.write(seen.withColumn("vote", best), "evidence")
     votes = [F.count(F.when(F.col("vote") == i, 1)).cast("double").alias(f"v{i}") for i in range(len(languages))]
     names = [f"v{i}" for i in range(len(languages))]
-    whole = seen.agg(*votes).first()
+    says = F.array_position(F.array(*map(F.lit, languages)), F.col("declared")).cast("int") - 1
+    usual = (F.col("n") >= ENOUGH) & F.coalesce((says < 0) | (says == F.col("vote")), F.lit(True))
+    whole = seen.agg(*votes, F.percentile_approx(F.when(usual, F.array_max("means")), TAIL, 10_000).alias("usual")).first()
+    bound = -1e300 if whole["usual"] is None else whole["usual"] - MARGIN
     overall = np.array([whole[n] for n in names]) + 1.0
     overall = overall / overall.sum()
     number = lambda x: F.lit(float(x))
@@ -172,7 +176,7 @@ def identify(
     name = lambda c: F.element_at(F.array(*map(F.lit, languages)), c + 1)
     out = out.select(
         F.col("id").alias(id_col), name(F.col("k")).alias("language"), "confidence", F.when(F.col("vote").isNotNull(), name(F.col("vote"))).alias("text_language"),
-        ((F.col("letters") > 0) & (F.col("confidence") >= LEAST) & (F.col("vote").isNull() | (F.col("fit") >= float(max(model.worst - MARGIN, -1e300)) - SPREAD / F.sqrt("n")))).alias("kept"),
+        ((F.col("letters") > 0) & (F.col("confidence") >= LEAST) & (F.col("vote").isNull() | (F.col("fit") >= bound - SPREAD / F.sqrt("n")))).alias("kept"),
     )
     return work.write(out, "result")
 
