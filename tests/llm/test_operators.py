@@ -1,6 +1,7 @@
 """Every operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glyphweave.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, queries, substring_dedup, token_counts, url_filter
@@ -67,6 +69,44 @@ def test_exact_index_takes_batches(spark, docs):
         index.drop()
 
 
+def test_exact_index_survives_failures(spark, docs, monkeypatch):
+    """A batch that is run again keeps its rows; a crash while old files are removed leaves the index whole."""
+    index = exact_dedup.DigestIndex(spark, "digests_again", buckets=3)
+    try:
+        exact_dedup.exact_dedup(spark, docs.where("doc_id < 8"), index, batch="one")
+        wanted = sorted(map(str, exact_dedup.exact_dedup(spark, docs.where("doc_id >= 4"), index, batch="two").collect()))
+        before = index.table().count()
+        assert sorted(map(str, exact_dedup.exact_dedup(spark, docs.where("doc_id >= 4"), index, batch="two").collect())) == wanted
+        assert index.table().count() == before
+
+        def fail(*_):
+            raise OSError("lost")
+
+        monkeypatch.setattr(exact_dedup, "delete", fail)
+        with pytest.raises(OSError):
+            index.compact()
+        monkeypatch.undo()
+        again = exact_dedup.DigestIndex(spark, "digests_again")
+        assert again.buckets == 3 and again.table().count() == before
+        again.compact()
+        assert again.table().count() == before
+        assert sorted(map(str, exact_dedup.exact_dedup(spark, docs.where("doc_id >= 4"), again, batch="two").collect())) == wanted
+    finally:
+        index.drop()
+
+
+def test_exact_with_a_hot_text(spark):
+    """A third of the rows are empty; they do not meet in one task of the join."""
+    rows = [(i, "" if i % 3 == 0 else f"t{i % 1500}") for i in range(6000)]
+    found = exact_dedup.exact_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    own = dict(rows)
+    assert len(found) == len(rows)
+    assert all((r["keep_id"], r["group_size"]) == (min(groups[own[r["doc_id"]]]), len(groups[own[r["doc_id"]]])) for r in found)
+
+
 def test_keep_first_keeps_columns_and_rows_without_id(spark, docs):
     left = exact_dedup.keep_first(spark, docs)
     assert left.columns == docs.columns
@@ -84,6 +124,12 @@ def test_token_counts(spark, docs):
         assert r["n_docs"] == lengths.count(n) and r["docs_up_to"] == sum(x <= n for x in lengths) and r["docs_at_least"] == sum(x >= n for x in lengths)
         assert r["tokens_at_least"] == sum(x for x in lengths if x >= n) and r["truncated_total"] == sum(min(x, n) for x in lengths)
     assert token_counts.token_counts(docs.limit(0)).count() == 0
+    whole = token_counts.token_counts(docs)
+    for r in token_counts.truncated_totals(whole, [1, 2, 77, 100, 10**6]).collect():
+        assert (r["total"], r["n_cut"]) == (sum(min(x, r["context"]) for x in lengths), sum(x > r["context"] for x in lengths))
+    for r in token_counts.quantiles(whole, [0, 0.25, 0.5, 0.9, 1]).collect():
+        assert r["n_tokens"] == lengths[max(1, math.ceil(r["share"] * len(lengths))) - 1]
+    assert [tuple(r) for r in token_counts.quantiles(token_counts.token_counts(docs.limit(0)), [0.5]).collect()] == [(0.5, None)]
 
 
 def components(n, pairs):
@@ -121,6 +167,16 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """Repeated rows are one vector; an id with several vectors is linked with what any of them is linked with."""
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x), (1, x), (2, x), (3, x), (3, y), (4, y), (4, [0.0, 2.0, 0.0]), (5, [0.0, 0.0, 1.0]), (None, x), (5, None)]
+    for kind in ("float", "double"):
+        found = embedding_dedup.embedding_dedup(spark, spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")).collect()
+        assert len(found) == len(rows)
+        assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(1, 2, 1), (2, 2, 1), (3, 4, 1), (4, 2, 1), (5, 0, 5), (None, 0, None)}
+
+
 def test_embeddings_of_a_noisy_group(spark):
     """A third of 20,000 rows are near copies with a cosine of about 0.95, under as many pivots as a million rows have."""
     rng = np.random.default_rng(11)
@@ -157,6 +213,10 @@ def test_substrings(spark, docs):
     rows = [(i, t) for i, t in ROWS if i is not None]
     wanted = sorted((i, len(words(t)), sum(p in gone.get(i, ()) for p in range(len(words(t)))), hashlib.sha256(" ".join(w for p, w in enumerate(words(t)) if p not in gone.get(i, ())).encode()).hexdigest()) for i, t in rows)
     assert sorted(map(tuple, substring_dedup.substring_dedup(spark, docs.where("doc_id is not null")).collect())) == wanted
+    whole = substring_dedup.substring_dedup(spark, docs).collect()  # rows without an id lose nothing and take nothing
+    nameless = sorted((len(words(t)), 0, hashlib.sha256(" ".join(words(t)).encode()).hexdigest()) for i, t in ROWS if i is None)
+    assert sorted(tuple(r)[1:] for r in whole if r["doc_id"] is None) == nameless
+    assert sorted(tuple(r) for r in whole if r["doc_id"] is not None) == wanted
     left = substring_dedup.without_repeats(spark, docs)
     assert left.columns == docs.columns and left.count() == len(ROWS)
     texts = {r["doc_id"]: r["text"] for r in left.collect() if r["doc_id"] is not None}
@@ -172,7 +232,35 @@ def test_substrings_against_history(spark, docs, tmp_path):
     found = substring_dedup.substring_dedup(spark, new, index, old)
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()}[13] == 60
     substring_dedup.substring_dedup(spark, last, index, old.unionByName(new))
-    assert len(index._runs()) == 1  # three runs were merged
+    assert len(index.runs()) == 1  # three runs were merged
+    again = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/again")
+    substring_dedup.substring_dedup(spark, old, again, batch="one")
+    both = [sorted(map(tuple, substring_dedup.substring_dedup(spark, new, again, old, batch="two").collect())) for _ in range(2)]
+    assert both[0] == both[1] and len(again.runs()) == 2 and any(r[2] for r in both[0])
+
+
+def test_substrings_of_several_texts_of_one_id(spark):
+    """A copy under an id that has another text as well; places removed in one text go in all."""
+    a, b, c = (" ".join(RNG.choice(VOCABULARY, 50)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, c + " " + c), (6, a + " tail")]
+    gone = brute_removed(rows)
+    found = substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in found) == sorted((i, len(words(t)), sum(p in gone.get(i, ()) for p in range(len(words(t))))) for i, t in rows)
+
+
+def test_prints_are_marked_over_batches_and_partitions():
+    """Every print that stands at two places is marked, wherever batches and partitions end."""
+    rng = np.random.default_rng(3)
+    rows = sorted(zip(rng.integers(0, 60, 200).tolist(), rng.integers(0, 30, 200).tolist(), strict=True))
+    many = {p for p, _ in rows if sum(q == p for q, _ in rows) > 1}
+    for cut in (0, 1, 77, 199):
+        found = []
+        for part in (rows[:cut], rows[cut:]):
+            batches = [part[k : k + 13] for k in range(0, len(part), 13)] + [[]]
+            made = substring_dedup._mark(pa.RecordBatch.from_arrays([pa.array([r[k] for r in b], pa.int64()) for k in (0, 1)], ["print", "doc_id"]) for b in batches)
+            found += [tuple(r.values()) for b in made for r in b.to_pylist()]
+        assert {(p, i) for p, i, _ in found} == set(rows) and {p for p, _, m in found if m} >= many
+        assert sum(m for p, _, m in found if p not in many) <= 4
 
 
 def brute_near(rows, shingle, percent):
@@ -185,6 +273,17 @@ def brute_near(rows, shingle, percent):
     return sets, dict(zip(ids, (ids[k] for k in components(len(ids), links)), strict=True))
 
 
+def test_near_copies_of_several_texts_of_one_id(spark):
+    """An id that has two texts is linked with what either of them is linked with."""
+    a, b, c = (" ".join(RNG.choice(VOCABULARY, 80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, b), (5, c), (6, c), (6, b), (7, "z " + c), (8, "lone")]
+    found = minhash_dedup.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (6, 1), (7, 1), (8, 8)]
+    few = [r for r in rows if r[0] in (1, 2, 3)]
+    found = minhash_dedup.near_dedup(spark, spark.createDataFrame(few, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in found} == {1}
+
+
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_copies(spark, docs, shingle):
     rows = [(i, t) for i, t in ROWS if i is not None]
@@ -259,6 +358,35 @@ def test_quality_is_learnt(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_scores_against_a_loop():
+    """A score is the logistic of one table entry a feature and pair, whatever the batch a text comes in."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, len(quality.FEATURES)))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(size=600) / 2 > 0).astype(float)
+    gam = quality.fit(x, y)
+    assert len(gam.tables) == len(quality.FEATURES) and len(gam.pairs) == quality.PAIRS
+    for row, score in zip(x[:50], gam.predict(x[:50]), strict=True):
+        place = [sum(v >= c for c in cuts) for v, cuts in zip(row, gam.cuts, strict=True)]
+        total = gam.base + sum(t[k] for t, k in zip(gam.tables, place, strict=True)) + sum(t[place[i], place[j]] for i, j, t in gam.pairs)
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+    assert np.mean((gam.predict(x) > 0.5) == y) > 0.85
+    texts = [t for _, t in ROWS]
+    whole = quality.features(pa.array(texts, pa.string()))
+    assert all(np.allclose(quality.features(pa.array([t], pa.string()))[0], whole[k], equal_nan=True) for k, t in enumerate(texts))
+
+
+def test_quality_of_ties_and_repeated_rows(spark):
+    """Labels that disagree or are null, repeated rows and an id with several texts."""
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet")
+    docs, labels = read("documents"), read("labels").select("doc_id", "quality")
+    plain = {r["doc_id"]: r["score"] for r in quality.quality(spark, docs, labels).collect()}
+    again = labels.unionByName(labels).unionByName(labels.withColumn("quality", F.lit(None).cast("int"))).unionByName(labels.where("quality = 1").withColumn("quality", F.lit(0)))
+    found = quality.quality(spark, docs.unionByName(docs), again).collect()
+    assert len(found) == 2 * len(plain) and all(r["score"] == plain[r["doc_id"]] for r in found)
+    several = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~"), "text")))
+    assert quality.quality(spark, several, labels).count() == 2 * len(plain)
+
+
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     found = quality.quality(spark, docs.where("doc_id is not null"), labels).collect()
@@ -310,6 +438,50 @@ def test_byte_bpe(spark, docs):
     assert bpe.byte_bpe(docs.limit(0)).count() == 0
 
 
+ODD = [*"abcdeE  01 9.,'é×÷ßÀÞþÿ漢\n\t \xa0\u3000\u2028\x85\x1c\x1f\x00\x7f-—’😀\u0301ŒœТ٣²½<|İıµ", "'s", "'ll", "  ", "\r\n", " the", " of", "<|", "|>", "<|endoftext|>", "</w>"]
+
+
+def odd_texts(n, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(ODD, rng.integers(0, 60))) for _ in range(n)] + ["", None, "a" * 5000, "ab" * 3000 + " " + "é" * 2000, " " * 300 + "x" + " " * 300, "x\n" * 50]
+
+
+def test_byte_bpe_of_odd_texts():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = odd_texts(4000, 1)
+    for text, ids in zip(texts, bpe.encode_texts(pa.array(texts), path, public_tokenizers.PATTERN), strict=True):
+        assert ids == encoder.encode_ordinary(text or "")
+
+
+def test_prefix_text_appends_and_edits():
+    """After every change all prefixes are encoded as the library does."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    encoder, rng = bpe.PrefixEncoder(ranks), np.random.default_rng(4)
+    text, whole = bpe.PrefixText(encoder), b""
+    for k in range(60):
+        new = "".join(rng.choice(ODD, 6)).encode()
+        if k % 3 == 0 or len(whole) > 600:
+            i, j = sorted(rng.integers(0, len(whole) + 1, 2).tolist())
+            text.edit(i, j, new)
+            whole = whole[:i] + new + whole[j:]
+        else:
+            text.append(new)
+            whole += new
+        assert text.whole == whole and text.ids() == library._encode_single_piece(whole)
+        cut = int(rng.integers(0, len(whole) + 1))
+        assert text.ids(cut) == (library._encode_single_piece(whole[:cut]) if cut else [])
+        assert encoder.decode(text.ids()) == whole
+
+
+def test_packing_ids_of_odd_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, texts = Tokenizer.from_file(path), odd_texts(4000, 2)
+    for text, raw in zip(texts, packing._Words(path).texts(pa.array(texts), b""), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_language(spark, docs):
     read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(spark, read)
@@ -320,6 +492,56 @@ def test_language(spark, docs):
     assert language_id.identify(spark, docs.limit(0), model).count() == 0
 
 
+def test_language_on_unseen_documents(spark):
+    """Fitted on one half of the documents, held against the declared language of the other half, which it is not told."""
+    read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(spark, read.where("doc_id % 2 = 0"))
+    rows = language_id.identify(spark, read.where("doc_id % 2 = 1"), model, declared=None, host=None).join(read.select("doc_id", "lang"), "doc_id").where("text_language is not null and kept").collect()
+    assert len(rows) > 300 and np.mean([r["language"] == r["lang"] for r in rows]) >= 0.97
+
+
+def test_language_evidence_against_a_loop(spark):
+    """Likelihood, declaration and priors of host and suffix, multiplied by hand; hosts of one document, ties, repeated rows and nulls."""
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(spark, read)
+    own = [(r["doc_id"], r["text"][:400], r["lang"], r["source"]) for r in read.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    rows = [(i, t, (lang, "fr", None, "xx")[i % 4], (host, "lone%d" % i, None)[i % 3], ("de", "com", None)[i % 5 % 3]) for i, t, lang, host in own]
+    rows += [rows[0], (9001, None, None, None, None), (9002, "123", "de", rows[0][3], "de"), (9003, "", "en", None, "com"), (None, rows[3][1], None, "lone", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, suffix string")
+    found = language_id.identify(spark, df, model, suffix="suffix").collect()
+    names, evidence = model.languages, []
+    for _, t, *_ in rows:
+        row, slot = language_id._trigrams(pa.array([t]))
+        evidence.append((len(row), model.logs[:, slot].mean(1) if len(row) else np.zeros(len(names))))
+    votes = [int(np.argmax(m)) if n else None for n, m in evidence]
+    overall = np.array([1.0 + votes.count(k) for k in range(len(names))])
+    overall /= overall.sum()
+    told = np.full((len(names), len(names) + 1), 0.5)
+    for (_, _, lang, _, _), v in zip(rows, votes, strict=True):
+        if v is not None and lang is not None:
+            told[v, names.index(lang) if lang in names else -1] += 1
+    told = np.log(told / told.sum(1, keepdims=True))
+    group = lambda key: np.array([sum(v == k for r, v in zip(rows, votes, strict=True) if key(r)) for k in range(len(names))], float)
+    wanted = {}
+    for r, v, (n, means) in zip(rows, votes, evidence, strict=True):
+        mine = np.array([v == k for k in range(len(names))], float)
+        at_suffix = np.maximum(group(lambda q: q[4] == r[4]) - mine, 0) if r[4] is not None else np.zeros(len(names))  # noqa: B023
+        at_host = np.maximum(group(lambda q: q[3] == r[3] and q[4] == r[4]) - mine, 0) if r[3] is not None else np.zeros(len(names))  # noqa: B023
+        wide = (at_suffix + language_id.SMOOTH * overall) / (at_suffix.sum() + language_id.SMOOTH)
+        logit = np.log((at_host + language_id.SMOOTH * wide) / (at_host.sum() + language_id.SMOOTH)) + (told[:, names.index(r[2])] if r[2] in names else 0) + n * language_id.SHARE * means
+        share = np.exp(logit - logit.max())
+        wanted.setdefault(r[0], (names[int(np.argmax(logit))], 1 / share.sum(), None if v is None else names[v]))
+    assert len(found) == len(rows)
+    for r in found:
+        language, confidence, text_language = wanted[r["doc_id"]]
+        assert (r["language"], r["text_language"]) == (language, text_language) and abs(r["confidence"] - confidence) < 1e-6
+        assert not (r["kept"] and text_language is None)
+    junk = [(10_000 + k, "".join(RNG.choice(list("zxqwvkj"), 400)), "en", "s", None) for k in range(3)]  # few beside many clean ones
+    clean = [(r["doc_id"], r["text"], r["lang"], r["source"], None) for r in read.where("lang is not null and length(text) > 500").collect()]
+    kept = {r["doc_id"]: r["kept"] for r in language_id.identify(spark, spark.createDataFrame(clean * 8 + junk, df.schema), model).collect()}
+    assert not any(kept[i] for i, *_ in junk) and np.mean([kept[i] for i, *_ in clean]) > 0.99
+
+
 def test_language_of_pages_by_address_suffix(spark, tmp_path):
     """Pages without text at unknown hosts have the language of most pages under their suffix."""
     read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
