@@ -141,7 +141,7 @@ def spelt(times: int, size: int, fill: str) -> Column:
     return F.lpad((F.col("o_orderkey") * times).cast("string"), size, fill)
 
 
-cells("text_valid_abn", "orders", "o_orderkey", lambda: st.valid_id(spelt(7_368_787, 11, "5"), "abn"), f"({digits(padded(7_368_787, 11, '5'), (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19))} - 10) % 89 = 0")
+cells("text_valid_abn", "orders", "o_orderkey", lambda: st.valid_id(spelt(7_368_787, 11, "5"), "abn"), f"CAST({padded(7_368_787, 11, '5')}[1:2] AS INTEGER) = 99 - {digits(padded(7_368_787, 11, '5'), (0, 0, 3, 5, 7, 9, 11, 13, 15, 17, 19))} % 89")
 cells("text_valid_acn", "orders", "o_orderkey", lambda: st.valid_id(spelt(15_485, 9, "0"), "acn"), f"(10 - {digits(padded(15_485, 9, '0'), range(8, 0, -1))} % 10) % 10 = CAST({padded(15_485, 9, '0')}[9] AS INTEGER)")
 cells("text_valid_medicare", "orders", "o_orderkey", lambda: st.valid_id(spelt(611_953, 10, "2"), "medicare"), f"{padded(611_953, 10, '2')}[1] BETWEEN '2' AND '6' AND {digits(padded(611_953, 10, '2'), (1, 3, 7, 9, 1, 3, 7, 9))} % 10 = CAST({padded(611_953, 10, '2')}[9] AS INTEGER)")
 cells("text_valid_isbn", "orders", "o_orderkey", lambda: st.valid_id(spelt(179_426, 10, "0"), "isbn"), f"{digits(padded(179_426, 10, '0'), range(1, 10))} % 11 = CAST({padded(179_426, 10, '0')}[10] AS INTEGER)")
