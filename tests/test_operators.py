@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphweave import queries
+from glyphweave.kernels import fuzz, pairwise
 from glyphweave.operators import blocking, evaluate, model, review, search
 from glyphweave.operators.components import connected_components
 from glyphweave.operators.prefix import with_running
@@ -229,3 +230,24 @@ def test_model_queries_take_all_pairs_of_a_brand(spark, tmp_path):
         assert r["name_level"] == (None if x[0] % 50 == 0 else 2 if x[4] == y[4] else 1 if {x[4], y[4]} == {"tin bolt", "tin bolts"} else 0)
     fit = {(r["field"], r["level"]): r for r in queries.QUERIES["model_em_linkage"](spark, str(tmp_path)).collect()}
     assert len(fit) == 8 and all(abs(sum(r[k] for (f, _), r in fit.items() if f == name) - 1) < 1e-5 for name in queries.FIELDS for k in "mu")
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_names_are_scored_once_a_class(spark, tmp_path, monkeypatch, chunk):
+    """Copies of names make pairs, but not pairs to score; classes and keys over a chunk are dealt to several rows."""
+    monkeypatch.setattr(blocking, "CHUNK", chunk)
+    names = ["tin bolt", "tin bolts", "steel nut", None]
+    parts = [(i, "Brand#1" if i < 70 else "Brand#2", 7, names[i % 4 if i % 3 else 0]) for i in range(90)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    at = {p[0]: p for p in parts}
+    wanted = sorted((x[0], y[0]) for x in parts for y in parts if x[0] < y[0] and x[1] == y[1])
+    for name, score in (("fuzz_ratio", fuzz.ratio), ("sim_damerau_levenshtein", lambda a, b: pairwise.damerau(a, b, True)), ("fuzz_partial_ratio_alignment", lambda a, b: fuzz.alignment(a, b)[0])):
+        found = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted((r["x_id"], r["y_id"]) for r in found) == wanted
+        for r in found:
+            a, b = at[r["x_id"]][3], at[r["y_id"]][3]
+            assert r[2] == (None if a is None or b is None else pytest.approx(score(a, b)))
+    steps = queries.QUERIES["sim_edit_ops"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["step"], r["type"]) for r in steps) == sorted((f"{x}|{y}", k, s["type"]) for x, y in wanted if at[x][3] and at[y][3] for k, s in enumerate(pairwise.edit_ops(at[x][3], at[y][3], False, False), 1))
+    rows = queries.name_classes(spark, str(tmp_path)).select(F.size("x_ids").alias("x"), F.size("y_ids").alias("y")).collect()
+    assert len(rows) == 32 if chunk > 90 else max(r["x"] for r in rows) < 40
