@@ -251,3 +251,22 @@ def test_names_are_scored_once_a_class(spark, tmp_path, monkeypatch, chunk):
     assert sorted((r["id"], r["step"], r["type"]) for r in steps) == sorted((f"{x}|{y}", k, s["type"]) for x, y in wanted if at[x][3] and at[y][3] for k, s in enumerate(pairwise.edit_ops(at[x][3], at[y][3], False, False), 1))
     rows = queries.name_classes(spark, str(tmp_path)).select(F.size("x_ids").alias("x"), F.size("y_ids").alias("y")).collect()
     assert len(rows) == 32 if chunk > 90 else max(r["x"] for r in rows) < 40
+
+
+def test_levels_are_counted_without_their_pairs(spark, tmp_path):
+    """Copies of parts make pairs, but no more rows of classes; counts of levels agree with those of all pairs."""
+    rng = random.Random(5)
+    parts = [(i, "Brand#1", rng.randrange(1, 4) * 3, rng.choice("ab"), rng.choice(["tin bolt", "tin bolts", "nut"])) for i in range(50)]
+    parts += [(p[0] + 50 * k, *p[1:]) for p in parts for k in (1, 2, 3)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    told = {tuple(r)[:3]: r["n"] for r in model.agreement_patterns(queries.level_counts(spark, str(tmp_path)), queries.FIELDS, "n").collect()}
+    assert told == {tuple(r)[:3]: r["n"] for r in model.agreement_patterns(queries.levels(spark, str(tmp_path)), queries.FIELDS).collect()} and sum(told.values()) == 199 * 100
+    assert queries.level_classes(spark, str(tmp_path)).count() == len({(p[2:], p[0] % 50 == 0) for p in parts}) ** 2
+    pairs = [("tin bolt", "bolt tin"), ("", "a"), ("o'neil", "oneil x")]
+    calls, kernel = [], pairwise.jaro_winkler
+    pairwise.jaro_winkler = lambda *a: calls.append(a) or kernel(*a)
+    try:
+        found = pairwise.jaro_winkler_tokens(*map(list, zip(*pairs, strict=True)), 0.1, False, pairwise._STRIP, None, False)
+    finally:
+        pairwise.jaro_winkler = kernel
+    assert len(calls) == 1 and found[:2] == [1.0, 0.0]
