@@ -113,6 +113,17 @@ def expand(classes: DataFrame, within: bool = True) -> DataFrame:
     return found.where("x_id < y_id") if within else found
 
 
+def spanning(classes: DataFrame) -> DataFrame:
+    """Pairs x_id, y_id of one table that connect what all pairs of these class pairs connect, about one a record and one a pair of classes.
+
+    For conditions that hold in both orders: then all records of two classes that meet, and of a class that meets another
+    or, with several records, itself, are connected.
+    """
+    least = classes.select("x_ids", F.array_min("x_ids").alias("x_id"), F.array_min("y_ids").alias("y_id")).where((F.col("x_id") != F.col("y_id")) | (F.size("x_ids") > 1))
+    own = least.groupBy("x_id").agg(F.first("x_ids").alias("x_ids")).select("x_id", F.explode("x_ids").alias("y_id"))
+    return least.where("x_id < y_id").select("x_id", "y_id").unionByName(own.where("x_id < y_id"))
+
+
 def block_pairs(
     x: DataFrame, keys: Sequence[Key], id_x: str, y: DataFrame | None = None, keys_y: Sequence[Key] | None = None, id_y: str | None = None, max_block_size: float | None = None,
     carry: Mapping[str, Column] | None = None, carry_y: Mapping[str, Column] | None = None,

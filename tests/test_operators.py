@@ -270,3 +270,16 @@ def test_levels_are_counted_without_their_pairs(spark, tmp_path):
     finally:
         pairwise.jaro_winkler = kernel
     assert len(calls) == 1 and found[:2] == [1.0, 0.0]
+
+
+def test_links_are_rounded_as_in_sql_and_spanned(spark, tmp_path):
+    draw = random.Random(7)
+    rows = [(1, 1, 1000.0), (2, 1, 1292.5), (3, 2, 1000.0), (4, 2, 1637.5)] + [(k, 3, float(draw.choice([100, 1500, 2900, 9000, 9500, 20000]))) for k in range(5, 40)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "Brand#1", 1, "ab"), (2, "Brand#1", 1, None)], "p_partkey bigint, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    score = {(r["x_id"], r["y_id"]): r["score"] for r in queries.links(spark, str(tmp_path)).collect()}
+    assert (score[1, 2], score[3, 4]) == (0.81, 0.57)
+    assert [r["value"] for r in queries.QUERIES["sim_hamming"](spark, str(tmp_path)).collect()] == [float("inf")]
+    of = lambda df: {r["node"]: r["component"] for r in connected_components(spark, df.select("x_id", "y_id")).collect()}
+    few = blocking.spanning(queries.link_classes(spark, str(tmp_path)))
+    assert of(few) == of(queries.links(spark, str(tmp_path))) and few.count() < len(score) / 2
