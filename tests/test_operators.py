@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -283,3 +284,13 @@ def test_links_are_rounded_as_in_sql_and_spanned(spark, tmp_path):
     of = lambda df: {r["node"]: r["component"] for r in connected_components(spark, df.select("x_id", "y_id")).collect()}
     few = blocking.spanning(queries.link_classes(spark, str(tmp_path)))
     assert of(few) == of(queries.links(spark, str(tmp_path))) and few.count() < len(score) / 2
+
+
+def test_pairs_are_handed_on_row_by_row(spark):
+    """No generated loop explodes within another: it would hold all pairs of two packs before the first leaves it."""
+    classes = spark.createDataFrame([([1, 2, None], [1, 3], 1)], "x_ids array<bigint>, y_ids array<bigint>, pass int")
+    for within, wanted in ((True, [(1, 3), (2, 3)]), (False, [(1, 1), (1, 3), (2, 1), (2, 3), (None, 1), (None, 3)])):
+        found = blocking.expand(classes, within)
+        assert sorted(((r["x_id"], r["y_id"]) for r in found.collect()), key=str) == sorted(wanted, key=str)
+        loops = re.findall(r"\*\((\d+)\) Generate", found._jdf.queryExecution().executedPlan().toString())
+        assert len(loops) == len(set(loops)) == 1
