@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import lit
 
-from glyphweave.functions.udf import ColumnLike, col, each
+from glyphweave.functions.udf import ColumnLike, col, each, once
 from glyphweave.functions.unicode import native_fold
 from glyphweave.kernels import double_metaphone as double
 from glyphweave.kernels import phonetic as kernels
@@ -83,11 +83,14 @@ def phonex(x: ColumnLike, max_length: int = 4) -> Column:
     w = F.regexp_replace(letters(x), "S+$", "")
     for pattern, new in (("^KN", "N"), ("^WR", "R"), ("^PH", "F"), ("^H", ""), ("^[EIOUY]", "A"), ("^P", "B"), ("^V", "F"), ("^[KQ]", "C"), ("^J", "G"), ("^Z", "S")):
         w = F.regexp_replace(w, pattern, new)
-    rest = _rest(w)
-    for pattern, new in (("R(?:[AEHIOUWY]|$)", "6"), ("R", ""), ("L(?:[AEHIOUWY]|$)", "4"), ("L", ""), ("[AEHIOUWY]", ""), ("[MN][DG]*", "5"), ("[BFPV]", "1"), ("[DT]C", "C"), ("[DT]", "3"), ("[CGJKQSXZ]", "2")):
-        rest = F.regexp_replace(rest, pattern, new)
-    code = F.rpad(F.concat(F.substring(w, 1, 1), _runs(rest)), max_length, "0")
-    return F.when((w == "") | code.rlike("^0*$"), lit("")).otherwise(code)
+
+    def code(w: Column) -> Column:
+        rest = _rest(w)
+        for pattern, new in (("R(?:[AEHIOUWY]|$)", "6"), ("R", ""), ("L(?:[AEHIOUWY]|$)", "4"), ("L", ""), ("[AEHIOUWY]", ""), ("[MN][DG]*", "5"), ("[BFPV]", "1"), ("[DT]C", "C"), ("[DT]", "3"), ("[CGJKQSXZ]", "2")):
+            rest = F.regexp_replace(rest, pattern, new)
+        return F.rpad(F.concat(F.substring(w, 1, 1), _runs(rest)), max_length, "0")
+
+    return once(w, lambda w: once(code(w), lambda c: F.when((w == "") | c.rlike("^0*$"), lit("")).otherwise(c)))
 
 
 def _coded(kernel: Callable, *fixed: object) -> Callable[[ColumnLike], Column]:

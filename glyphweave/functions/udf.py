@@ -20,6 +20,11 @@ def col(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once, however often ``made`` names it: a column named twice is an expression written twice."""
+    return F.transform(F.array(x), made)[0]
+
+
 #: Results that a task holds for values that come again in a later batch.
 HELD = 1 << 16
 

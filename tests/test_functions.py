@@ -41,6 +41,12 @@ def test_names_without_letters(values, name):
     assert values(getattr(phonetic, name), [None, "", "123", "---"]) == [None] * 4
 
 
+def test_phonex_replaces_once(spark):
+    """22 patterns and those of folding: a value named twice would repeat all patterns before it."""
+    plan = spark.createDataFrame([("a",)], "x string").select(phonetic.phonex("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 20 < plan.count("regexp_replace(") < 60
+
+
 def test_caverphone_of_nothing(values):
     assert values(phonetic.caverphone, [None, "", "12"]) == [None, "1111111111", "1111111111"]
 
