@@ -26,14 +26,19 @@ def _f(p: Column, r: Column) -> Column:
 
 
 def _overlap(predicted: DataFrame, truth: DataFrame, i: str, j: str, ordered: bool) -> DataFrame:
-    a, b = (_pairs(d, i, j, ordered).withColumn(n, lit(1)) for d, n in ((predicted, "p"), (truth, "t")))
-    both = a.join(b, ["i", "j"], "full")
-    return both.agg(F.count(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("t").isNull(), 1)).alias("fp"), F.count(F.when(F.col("p").isNull(), 1)).alias("fn"))
+    """Different pairs of either table, once each: pairs are shuffled once and aggregated, not sorted to be joined."""
+    a, b = (_pairs(d, i, j, ordered).select("i", "j", lit(p).alias("predicted"), lit(not p).alias("truth")) for d, p in ((predicted, True), (truth, False)))
+    return a.unionByName(b).groupBy("i", "j").agg(F.max("predicted").alias("predicted"), F.max("truth").alias("truth")).select("predicted", "truth", lit(1).alias("n"))
 
 
-def linkage_eval(predicted: DataFrame, truth: DataFrame, i: str = "x_id", j: str = "y_id", n_pairs: int | None = None, ordered: bool = True) -> DataFrame:
-    """tp, fp, fn, precision, recall and F of the different pairs; of ``n_pairs`` possible ones also tn, specificity and accuracy."""
-    out = _overlap(predicted, truth, i, j, ordered)
+def _counts(counted: DataFrame) -> DataFrame:
+    p, t = (F.coalesce(c, lit(False)) for c in ("predicted", "truth"))
+    return counted.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), lit(0)).cast("long").alias(n) for n, c in (("tp", p & t), ("fp", p & ~t), ("fn", ~p & t))])
+
+
+def linkage_eval_counts(counted: DataFrame, n_pairs: int | None = None) -> DataFrame:
+    """``linkage_eval`` of rows that stand for n different pairs each, all of them predicted or not, and true or not."""
+    out = _counts(counted)
     out = out.withColumn("precision", _ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     out = out.withColumn("f_measure", _f(F.col("precision"), F.col("recall")))
     if n_pairs is None:
@@ -42,15 +47,25 @@ def linkage_eval(predicted: DataFrame, truth: DataFrame, i: str = "x_id", j: str
     return out.withColumn("specificity", _ratio(F.col("tn"), F.col("tn") + F.col("fp"))).withColumn("accuracy", (F.col("tp") + F.col("tn")) / n_pairs)
 
 
-def blocking_eval(candidates: DataFrame, truth: DataFrame, n_1: int, n_2: int | None = None, i: str = "x_id", j: str = "y_id") -> DataFrame:
-    """How many of all possible pairs blocking spares, and how many true ones it keeps; within one table pairs have no order."""
+def linkage_eval(predicted: DataFrame, truth: DataFrame, i: str = "x_id", j: str = "y_id", n_pairs: int | None = None, ordered: bool = True) -> DataFrame:
+    """tp, fp, fn, precision, recall and F of the different pairs; of ``n_pairs`` possible ones also tn, specificity and accuracy."""
+    return linkage_eval_counts(_overlap(predicted, truth, i, j, ordered), n_pairs)
+
+
+def blocking_eval_counts(counted: DataFrame, n_1: int, n_2: int | None = None) -> DataFrame:
+    """``blocking_eval`` of rows that stand for n different pairs each, all of them candidates (predicted) or not, and true or not."""
     possible = n_1 * n_2 if n_2 is not None else n_1 * (n_1 - 1) // 2
-    out = _overlap(candidates, truth, i, j, n_2 is not None).withColumn("n_candidates", F.col("tp") + F.col("fp")).withColumn("n_truth", F.col("tp") + F.col("fn"))
+    out = _counts(counted).withColumn("n_candidates", F.col("tp") + F.col("fp")).withColumn("n_truth", F.col("tp") + F.col("fn"))
     out = out.withColumn("reduction_ratio", 1 - F.col("n_candidates") / possible if possible else lit(None).cast("double"))
     out = out.withColumn("pairs_completeness", _ratio(F.col("tp"), F.col("n_truth"))).withColumn("pairs_quality", _ratio(F.col("tp"), F.col("n_candidates")))
     return out.withColumn("f_measure", _f(F.col("reduction_ratio"), F.col("pairs_completeness"))).drop("fp", "fn")
 
 
+def blocking_eval(candidates: DataFrame, truth: DataFrame, n_1: int, n_2: int | None = None, i: str = "x_id", j: str = "y_id") -> DataFrame:
+    """How many of all possible pairs blocking spares, and how many true ones it keeps; within one table pairs have no order."""
+    return blocking_eval_counts(_overlap(candidates, truth, i, j, n_2 is not None), n_1, n_2)
+
+
 def _second(df: DataFrame, end: str) -> DataFrame:
     """Highest and second highest value of each record; only two rows a record and task are shuffled."""
     order = Window.partitionBy(end).orderBy(F.desc("v"), "o")

@@ -294,3 +294,16 @@ def test_pairs_are_handed_on_row_by_row(spark):
         assert sorted(((r["x_id"], r["y_id"]) for r in found.collect()), key=str) == sorted(wanted, key=str)
         loops = re.findall(r"\*\((\d+)\) Generate", found._jdf.queryExecution().executedPlan().toString())
         assert len(loops) == len(set(loops)) == 1
+
+
+def test_links_are_judged_without_their_pairs(spark, tmp_path, monkeypatch):
+    """Counts by class agree with those of all pairs, and no pair is made for them."""
+    draw = random.Random(8)
+    rows = [(k, k % 2, float(draw.choice([100, 700, 1500, 2225, 2900, 20000]))) for k in range(70)] + [(70, None, 1.0), (71, 1, None)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    at = str(tmp_path)
+    found, true = queries.links(spark, at).where("score >= 0.5"), queries.links(spark, at).where("(x_id + y_id) % 3 <> 0")
+    wanted = evaluate.linkage_eval(found, true).first(), evaluate.blocking_eval(found, true, len(rows)).first()
+    assert wanted[0]["tp"] == len({tuple(r)[:2] for r in found.collect()} & {tuple(r)[:2] for r in true.collect()}) > 0
+    monkeypatch.setattr(blocking, "expand", None)
+    assert (queries.QUERIES["eval_linkage"](spark, at).first(), queries.QUERIES["eval_blocking"](spark, at).first()) == wanted
