@@ -13,8 +13,10 @@ from pyspark.sql.functions import lit
 
 from glyphweave.functions.compare import compare_levels, tf_adjust
 from glyphweave.functions.udf import ColumnLike, col
-from glyphweave.workdir import Work
+from glyphweave.workdir import Work, dealt
 
+#: Pairs that a task of an assignment orders, about.
+ROWS = 1 << 20
 #: Breaks of scores from 0 to 1 when none are given.
 BREAKS = (0.8, 0.92, 1.0)
 
@@ -193,20 +195,21 @@ def select_greedy(pairs: DataFrame, i: str, j: str, weight: str, order: str, n:
     """
     work = Work(pairs.sparkSession, "greedy")
     base = pairs.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(weight).alias("w"), F.col(order).alias("o")).where("i is not null and j is not null and w is not null")
-    left = work.write(base.withColumn("ri", lit(n)).withColumn("rj", lit(m)), "open")
+    with dealt(pairs.sparkSession, 0, ROWS):
+        left = work.write(base.withColumn("ri", lit(n)).withColumn("rj", lit(m)), "open")
     safe_tables = []
-    while not left.isEmpty():
-        best = left
+    while open_pairs := left.count():
+        best = []  # at most n or m pairs a record: only these meet, not all pairs
         for end, most in (("i", n), ("j", m)):
             first = Window.partitionBy(end).orderBy(F.desc("w"), "o")
-            best_of = left.select(end, "o", "w", F.row_number().over(first).alias("k")).where(F.col("k") <= most).select("o", F.col("k").alias(f"k{end}"))
-            best = best.join(best_of, "o")
-        safe = work.write(best.where("ki <= ri and kj <= rj").select("i", "j", "o"), "safe")
-        safe_tables.append(work.made[-1])
-        used_i, used_j = (safe.groupBy(e).agg(F.count(lit(1)).alias(f"u{e}")) for e in "ij")
-        rest = left.join(safe.select("o"), "o", "left_anti").join(used_i, "i", "left").join(used_j, "j", "left")
-        rest = rest.select("i", "j", "w", "o", (F.col("ri") - F.coalesce("ui", lit(0))).cast("int").alias("ri"), (F.col("rj") - F.coalesce("uj", lit(0))).cast("int").alias("rj"))
-        left = work.write(rest.where("ri > 0 and rj > 0"), "open")
+            best.append(left.select("i", "j", "o", f"r{end}", F.row_number().over(first).alias("k")).where(F.col("k") <= most).where(F.col("k") <= F.col(f"r{end}")))
+        with dealt(pairs.sparkSession, open_pairs, ROWS):
+            safe = work.write(best[0].select("i", "j", "o").join(best[1].select("o"), "o").select("i", "j", "o"), "safe")
+            safe_tables.append(work.made[-1])
+            used_i, used_j = (safe.groupBy(e).agg(F.count(lit(1)).alias(f"u{e}")) for e in "ij")
+            rest = left.join(safe.select("o"), "o", "left_anti").join(used_i, "i", "left").join(used_j, "j", "left")
+            rest = rest.select("i", "j", "w", "o", (F.col("ri") - F.coalesce("ui", lit(0))).cast("int").alias("ri"), (F.col("rj") - F.coalesce("uj", lit(0))).cast("int").alias("rj"))
+            left = work.write(rest.where("ri > 0 and rj > 0"), "open")
     good = F.col(i).isNotNull() & F.col(j).isNotNull() & F.col(weight).isNotNull()
     if not safe_tables:
         return pairs.withColumn(name, F.when(good, lit(False)))

@@ -39,6 +39,25 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def dealt(spark: SparkSession, rows: int, most: int) -> Iterator[None]:
+    """Statements over so many rows that are written inside scan and shuffle about ``most`` rows a task, however many rows there are.
+
+    Tables of a few columns are small on disk: by bytes alone a task would scan, and sort, the more rows of them the more there are.
+    """
+    parts, conf = -(-rows // most), {"spark.sql.files.maxRecordsPerFile": most}
+    if parts > spark.sparkContext.defaultParallelism:
+        conf |= {"spark.sql.shuffle.partitions": max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "spark.sql.files.maxPartitionBytes": 4 << 20}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def delete(spark: SparkSession, at: str) -> None:
     """Remove a folder, where it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)

@@ -307,3 +307,22 @@ def test_links_are_judged_without_their_pairs(spark, tmp_path, monkeypatch):
     assert wanted[0]["tp"] == len({tuple(r)[:2] for r in found.collect()} & {tuple(r)[:2] for r in true.collect()}) > 0
     monkeypatch.setattr(blocking, "expand", None)
     assert (queries.QUERIES["eval_linkage"](spark, at).first(), queries.QUERIES["eval_blocking"](spark, at).first()) == wanted
+
+
+def test_greedy_orders_few_pairs_a_task(spark, monkeypatch):
+    """Pairs are written, read and shuffled in parts of about ROWS, so a task's memory does not grow with them."""
+    draw, seen, write = random.Random(9), [], model.Work.write
+    rows = [(k, draw.randrange(30), draw.randrange(30), float(draw.randrange(9))) for k in range(300)]
+    df = spark.createDataFrame(rows, "o int, i int, j int, w double")
+    wanted = {r["o"] for r in model.select_greedy(df, "i", "j", "w", "o").where("selected").collect()}
+
+    def watched(work, frame, name):
+        out = write(work, frame, name)
+        seen.append((int(spark.conf.get("spark.sql.shuffle.partitions")), out.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(model.Work, "write", watched)
+    monkeypatch.setattr(model, "ROWS", 16, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert {r["o"] for r in model.select_greedy(df, "i", "j", "w", "o").where("selected").collect()} == wanted
+    assert all(n is None or n <= 16 for _, n in seen) and seen[1][0] == -(-300 // 16) and spark.conf.get("spark.sql.shuffle.partitions") == before
