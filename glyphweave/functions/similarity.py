@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import lit
 
-from glyphweave.functions.udf import ColumnLike, col, each, pairs
+from glyphweave.functions.udf import ColumnLike, col, each, once, pairs
 from glyphweave.functions.unicode import native_fold
 from glyphweave.kernels import pairwise as k
 
@@ -232,9 +232,9 @@ def _sets(a: ColumnLike, b: ColumnLike, q: int, use_bytes: bool, measure: Callab
     if q < 1:
         raise ValueError("q is at least 1")
     x, y = units(a, use_bytes), units(b, use_bytes)
-    s, t = F.array_distinct(grams(x, q)), F.array_distinct(grams(y, q))
-    both, left, right = F.size(F.array_intersect(s, t)), F.size(s), F.size(t)
-    value = measure(both, left, right)
+    sets = once(F.struct(x.alias("a"), y.alias("b")), lambda t: F.struct(*[F.array_distinct(grams(t[k], q)).alias(k) for k in "ab"]))
+    sizes = once(sets, lambda t: F.array(F.size(F.array_intersect(t["a"], t["b"])), F.size(t["a"]), F.size(t["b"])))
+    value = once(sizes, lambda n: measure(n[0], n[1], n[2]))
     return F.when(x == y, lit(1.0)).when(x.isNotNull() & y.isNotNull(), F.coalesce(value, lit(0.0)))
 
 

@@ -107,6 +107,14 @@ def test_other_similarities(values):
     assert values(similarity.lcs_str, ["abcxabd", "Acme Holdings", "a"], ["abd", "ACME HOLDINGS", "b"]) == ["abd", " H", ""]
 
 
+def test_sets_of_grams_are_made_once(spark):
+    """A value that is named twice is an expression written twice: each text has one set, and both sets meet once."""
+    df = spark.createDataFrame([("night", "nacht")], "a string, b string")
+    for measure in (similarity.jaccard_index, similarity.dice_coefficient, similarity.tversky_index, similarity.overlap_coefficient):
+        plan = df.select(measure("a", "b").alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert (plan.count("array_distinct("), plan.count("array_intersect(")) == (2, 1)
+
+
 def test_grams(values):
     close(values(similarity.jaccard_index, ["night", "aaaa", "", "ab"], ["nacht", "aaab", "", "cd"]), [1 / 7, 0.5, 1, 0])
     close(values(similarity.dice_coefficient, ["night", "aaaa"], ["nacht", "aaab"]), [0.25, 2 / 3])
