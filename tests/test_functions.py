@@ -1,11 +1,12 @@
 """Published values of column functions, and their rules for nulls and empty texts."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from glyphweave.functions import compare, dates, fuzz, match, phonetic, similarity, strings
+from glyphweave.functions import compare, dates, fuzz, match, phonetic, similarity, strings, udf
 
 
 def close(found, wanted, within=1e-6):
@@ -122,6 +123,22 @@ def test_grams(values):
     close(values(lambda a, b: similarity.jaccard_index(a, b, q=8), ["short", "short"], ["short", "tiny"]), [1, 0])
 
 
+@pytest.mark.parametrize("made", [udf.each, udf.pairs])
+def test_results_of_pairs_are_held_for_later_tasks(spark, tmp_path, made):
+    """A process computes a pair's result once, not once in each of its tasks."""
+
+    def kernel(a, b):
+        with open(f"{tmp_path}/{os.getpid()}", "a") as told:
+            told.write(".")
+        return [x + y for x, y in zip(a, b, strict=True)] if isinstance(a, list) else a + b
+
+    pairs = spark.range(0, 96, 1, 24).select(F.lit("a").alias("a"), F.when(F.col("id") % 4 > 0, "b").alias("b"))
+    found = [r["v"] for r in pairs.select(made("string", kernel)(F.col("a"), F.col("b")).alias("v")).collect()]
+    assert found == [None, "ab", "ab", "ab"] * 24
+    calls = [len(open(f).read()) for f in tmp_path.iterdir()]
+    assert calls and max(calls) == 1
+
+
 def test_edit_ops(spark):
     df = spark.createDataFrame([(1, "kitten", "sitting")], "id int, a string, b string")
     rows = similarity.edit_ops(df, "a", "b", "id").orderBy("step").collect()
